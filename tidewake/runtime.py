@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a narrow side is broadcast; beyond it the join is left to shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow batch to or from Python.
+ARROW_ROWS = 1500
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -93,6 +96,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow(df: DataFrame, fn, schema) -> DataFrame:
-    """df.mapInArrow(fn, schema) with this package at hand in the workers."""
-    ship(df.sparkSession)
+    """df.mapInArrow(fn, schema) with this package at hand in the workers.
+
+    Arrow batches are kept to ARROW_ROWS rows unless the session says otherwise, since
+    both ends of the pipe hold a batch of whole texts.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(ARROW_ROWS))
     return df.mapInArrow(fn, schema)
