@@ -243,6 +243,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lite
                         if keep[text] and index.consistent(t, hits):
                             keep[text] = False
                     yield batch.slice(a, b - a).filter(pa.array(keep))
+            K.give_back()
 
         return run
 

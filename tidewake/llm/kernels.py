@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that are expanded at once; a longer text goes alone, whole.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Texts that are expanded at once.
 CHUNK_ROWS = 4000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -224,3 +224,15 @@ def text_batches(batches, text: str = "text", budget: int = CHUNK_BYTES):
         column = strings(batch.column(batch.schema.get_field_index(text)))
         for a, b in slices(column, budget):
             yield batch.slice(a, b - a), column.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the machine; a worker lives on after its task."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
