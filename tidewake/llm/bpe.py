@@ -11,7 +11,7 @@ import pyarrow as pa
 from . import kernels as K
 
 #: Pieces that a worker remembers.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 150_000
 
 
 def default_ranks() -> str:
