@@ -56,8 +56,9 @@ _NEEDS = {
 }
 _COMPILED = {k: re.compile(v) for k, v in RULES.items()}
 _WORDS = re.compile(r"(?i)token|secret|passw|pwd|key|credential")
-_URL = re.compile(r"[A-Za-z0-9_.~+/=&?:;,@!$*'()\-]*%[0-9A-Fa-f]{2}[A-Za-z0-9_.~+/=&?:;,@!$*'()%\-]*")
-_ESCAPED = re.compile(r"(?:[!-\[\]-~ ]*\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}))+[!-\[\]-~]*")
+_URL = re.compile(r"[A-Za-z0-9_.~+/=&?:;,@!$*'()%-]+")  # whole runs, so that none is read twice
+_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
+_ESCAPED = re.compile(r"[!-~]+")
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2}))")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _MAGIC = ((b"\x1f\x8b", "gzip"), (b"x\x01", "zlib"), (b"x\x5e", "zlib"), (b"x\x9c", "zlib"), (b"x\xda", "zlib"), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"))
@@ -93,11 +94,15 @@ def _decoded(text: str):
     """(start, end, step, content) of the encoded parts of a layer."""
     if "%" in text:
         for m in _URL.finditer(text):
+            if not _PERCENT.search(m.group()):
+                continue
             out = _as_text(unquote_to_bytes(m.group()))
             if out is not None and out != m.group():
                 yield m.start(), m.end(), "url", out
     if "\\u" in text or "\\x" in text:
         for m in _ESCAPED.finditer(text):
+            if not _ESCAPE.search(m.group()):
+                continue
             out = _ESCAPE.sub(lambda e: chr(int(e.group(1) or e.group(2), 16)), m.group())
             yield m.start(), m.end(), "unicode", out.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
     for m in _BASE64.finditer(text):
