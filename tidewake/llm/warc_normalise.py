@@ -40,6 +40,8 @@ _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 def inflated(source):
     """Pieces of the content of one gzip stream or of several in a row."""
     data, d = source.read(STEP), zlib.decompressobj(31)
+    if not data:
+        return
     while data:
         out = d.decompress(data, STEP)
         if out:
