@@ -2,8 +2,8 @@
 
 Models are trained on trusted text (documents labelled quality = 1), one per language
 and fold. A document is scored by the model of the fold that it is not in, so no text
-is scored by a model that has seen it. Its perplexity is held against a threshold from
-quantiles of the trusted texts of its language.
+is scored by a model that has seen it. Its perplexity is held against a threshold, the
+QUANTILE of the trusted texts of its language, so about 1 - QUANTILE of good text goes.
 
 Counts are gathered by n-gram, context and suffix through sharded joins. Scoring looks
 n-grams up in the model's key table: broadcast while it is at most ``lookup_rows`` long
@@ -32,8 +32,8 @@ from . import kernels as K
 ORDER = 5
 #: Rows of the model's key table that are broadcast at most (12 bytes each).
 LOOKUP_ROWS = 8_000_000
-#: Threshold: median + SPREAD * (the UPPER quantile - median) of trusted log-perplexities.
-UPPER, SPREAD = 0.95, 5.0
+#: Threshold: this quantile of the log-perplexities of a language's trusted texts.
+QUANTILE = 0.99
 #: Characters at the language's mean rate that are added to each text, so that a few words can't decide.
 PRIOR_CHARS = 50
 _PAD = "\x02"
@@ -251,22 +251,22 @@ def _with_model(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, str, str
     return df.withColumn(model, F.xxhash64(lang).bitwiseAND(F.lit(-2)) + fold), lang, trusted, model
 
 
-def _rates(scored: DataFrame, lang: str, nll: str, n: str, upper: float, spread: float, prior: float) -> DataFrame:
+def _rates(scored: DataFrame, lang: str, nll: str, n: str, quantile: float, prior: float) -> DataFrame:
     """A language's mean rate and threshold."""
     means = scored.groupBy(lang).agg((F.sum(nll) / F.sum(n)).alias("mean_rate"))
     rate = (F.col(nll) + prior * F.col("mean_rate")) / (F.col(n) + prior)
-    q = scored.join(F.broadcast(means), lang).groupBy(lang, "mean_rate").agg(F.percentile_approx(rate, [0.5, upper], 100_000).alias("q"))
-    return q.select(F.col(lang).alias("tw_of"), "mean_rate", (F.col("q")[0] + spread * (F.col("q")[1] - F.col("q")[0])).alias("limit_rate"))
+    q = scored.join(F.broadcast(means), lang).groupBy(lang, "mean_rate").agg(F.percentile_approx(rate, quantile, 100_000).alias("limit_rate"))
+    return q.select(F.col(lang).alias("tw_of"), "mean_rate", "limit_rate")
 
 
-def judged(docs: DataFrame, labels: DataFrame, upper: float = UPPER, spread: float = SPREAD, prior: float = PRIOR_CHARS, lookup_rows: int = LOOKUP_ROWS) -> tuple[DataFrame, dict]:
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, prior: float = PRIOR_CHARS, lookup_rows: int = LOOKUP_ROWS) -> tuple[DataFrame, dict]:
     """docs with scores, rates and thresholds; the names of the added columns."""
     df, lang, trusted, model = _with_model(docs, labels)
     nll, n, rate = fresh(df, "tw_nll", "tw_n", "tw_rate")
     texts = df.where(F.col(trusted)).select((F.col(model).bitwiseXOR(F.lit(1))).alias("model"), "text")
     ent = cut(entries(texts))
     scored_trusted = cut(score(df.where(F.col(trusted)).select(lang, model, "text"), ent, nll, n, model, lookup_rows).where(F.col(nll).isNotNull()).select(lang, nll, n))
-    limits = cut(_rates(scored_trusted, lang, nll, n, upper, spread, prior))
+    limits = cut(_rates(scored_trusted, lang, nll, n, quantile, prior))
     out = score(df, ent, nll, n, model, lookup_rows).join(small(limits), F.col(lang) == F.col("tw_of"), "left")
     out = out.withColumn(rate, (F.col(nll) + prior * F.col("mean_rate")) / (F.col(n) + prior))
     return out, {"lang": lang, "trusted": trusted, "nll": nll, "n": n, "rate": rate}
