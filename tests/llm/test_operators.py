@@ -71,6 +71,34 @@ def test_search_finds_what_brute_force_finds():
     assert all(root(x) == root(y) for x, y in zip(*np.nonzero(dist <= 52), strict=True))
 
 
+def test_drifting_chains_stay_whole():
+    r = np.random.default_rng(7)
+    fp = np.zeros((100, 40, 4), np.uint64)
+    for c in range(100):
+        x = r.integers(0, 1 << 63, 4).astype(np.uint64)
+        for v in range(40):
+            fp[c, v] = x
+            for b in r.choice(256, 30, replace=False):
+                x[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    fp = fp.reshape(-1, 4)[r.permutation(4000)]
+    near = np.concatenate([np.stack(np.nonzero(np.bitwise_count(fp[i : i + 200, None] ^ fp[None]).sum(axis=2, dtype=np.uint16) <= 52)) + [[i], [0]] for i in range(0, 4000, 200)], axis=1)
+
+    def groups(pairs):
+        parent = list(range(len(fp)))
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for x, y in zip(*pairs, strict=True):
+            parent[root(int(x))] = root(int(y))
+        return len({root(x) for x in range(len(fp))})
+
+    assert groups(simhash_dedup.close_edges(fp, 52)) == groups(near)
+
+
 def test_recursion_recall_and_clean_documents(spark):
     texts = []
     for i in range(400):

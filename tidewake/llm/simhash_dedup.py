@@ -10,8 +10,8 @@ at most CUT bits, and lists shrink by the same factor at each level, until they
 about ``leaf`` fingerprints; those are searched by brute force. The first levels have no
 dependence on each other's results, so their keys are made in one map and one shuffle.
 Repetitions follow from the strip's exact survival probability for two fingerprints at
-``radius`` and from ``recall``. A list's fingerprints that were reached already are not
-compared with one another again, so a list of thousands of copies takes linear time.
+``radius`` and from ``recall``. A list's fingerprints that are known to be in one component
+are not compared again, so a list of thousands of near copies takes linear time.
 
 Defined results: equal fingerprints (copies among them) are one node, whatever their
 number; a text without a word (null, empty, punctuation only) has no fingerprint and is
@@ -174,9 +174,11 @@ def _list_rows(levels: int, centres: int, repetitions: int):
 def close_edges(fp: np.ndarray, radius: int, block: int = 96) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that connect each component of the graph of pairs within radius.
 
-    Each fingerprint is expanded once, against those that nothing has reached so far.
+    Each fingerprint is expanded once, against those that nothing has reached so far and
+    those that wait to be expanded, but for those that are known to be in its component.
     """
     rest, frontier, left, right = np.arange(len(fp)), np.zeros(0, np.int64), [], []
+    tag, up = np.arange(len(fp)), {}  # a reached row has its leader's tag; tags of joined components lead to one root
 
     def near(a, b):
         # half of the lanes settle most pairs
@@ -184,25 +186,54 @@ def close_edges(fp: np.ndarray, radius: int, block: int = 96) -> tuple[np.ndarra
         ok = sum(np.bitwise_count(fp[a[i], k] ^ fp[b[j], k]).astype(np.uint16) for k in range(LANES)) <= radius
         return i[ok], j[ok]
 
+    def root(x):
+        path = []
+        while x in up:
+            path.append(x)
+            x = up[x]
+        up.update((y, x) for y in path)
+        return x
+
+    def roots(rows):
+        tags, index = np.unique(tag[rows], return_inverse=True)
+        return np.array([root(x) for x in tags.tolist()], np.int64)[index]
+
+    def join(a, b):
+        left.append(a)
+        right.append(b)
+        x, y = roots(a), roots(b)
+        differ = x != y
+        for p, q in set(zip(x[differ].tolist(), y[differ].tolist(), strict=True)):
+            p, q = root(p), root(q)
+            if p != q:
+                up[p] = q
+
     while len(rest) or len(frontier):
+        if len(frontier) > block:
+            frontier = frontier[np.argsort(roots(frontier), kind="stable")]  # blocks of one component, if it is large
         take, frontier = frontier[:block], frontier[block:]
         if len(take) < block:
             more = block - len(take)
             take, rest = np.concatenate([take, rest[:more]]), rest[more:]
         i, j = near(take, take)
         own = i < j
-        left.append(take[i[own]])
-        right.append(take[j[own]])
+        join(take[i[own]], take[j[own]])
+        if len(frontier):
+            mine = np.unique(roots(take))
+            others = frontier[roots(frontier) != mine[0]] if len(mine) == 1 else frontier
+            if len(others):
+                i, j = near(take, others)
+                apart = roots(take)[i] != roots(others)[j]
+                join(take[i[apart]], others[j[apart]])
         if len(rest):
             i, j = near(take, rest)
             if len(i):
                 reached, first = np.unique(j, return_index=True)
                 lead = i[first]
-                left.append(take[lead])
-                right.append(rest[reached])
+                tag[rest[reached]] = tag[take[lead]]
+                join(take[lead], rest[reached])
                 links = np.unique(lead[np.searchsorted(reached, j)] * block + i)  # rows of the block that meet at a reached one
-                left.append(take[links // block])
-                right.append(take[links % block])
+                join(take[links // block], take[links % block])
                 frontier = np.concatenate([frontier, rest[reached]])
                 rest = np.delete(rest, reached)
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
