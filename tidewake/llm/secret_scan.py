@@ -2,10 +2,14 @@
 
 A text is the first layer. Each layer is scanned with RULES and searched for encoded
 parts: percent-encoding, \\uXXXX and \\xXX escapes, base64 (standard and URL-safe), and
-gzip, zlib, bzip2 or xz streams that base64 uncovered. Each decoded part is a new layer
-on the worklist, unless the same content was a layer of this document before (so cycles
-and repeats end). The list is worked until it is empty. A finding's span is that of the
-outermost encoded part in the document's text, or of the match itself on the first layer.
+gzip, zlib, bzip2 or xz streams, all members of them, that base64 or another stream
+uncovered. Percent-encoding and escapes are undone over the whole layer, with a map of
+places; other parts are decoded by themselves. Each is a new layer on the worklist,
+unless the same content was a layer for the same span before (so cycles and repeats
+end). The list is worked until it is empty, whatever the depth. A finding's span is that
+of the outermost base64 part in the document's text, or else of the characters that the
+match itself was decoded from; what the layer above reported already isn't reported
+again. Bytes that aren't UTF-8 are replaced, and a layer of mostly such bytes isn't text.
 
 A layer is at most MAX_LAYER characters: what inflates beyond that is reported as a
 finding of rule ``oversized`` instead of being expanded, as defence against bombs.
@@ -25,6 +29,7 @@ import lzma
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter, deque
 from urllib.parse import unquote_to_bytes
 
@@ -56,10 +61,9 @@ _NEEDS = {
 }
 _COMPILED = {k: re.compile(v) for k, v in RULES.items()}
 _WORDS = re.compile(r"(?i)token|secret|passw|pwd|key|credential")
-_URL = re.compile(r"[A-Za-z0-9_.~+/=&?:;,@!$*'()%-]+")  # whole runs, so that none is read twice
-_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
-_ESCAPED = re.compile(r"[!-~]+")
-_ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2}))")
+_PERCENT = re.compile(r"%[0-7][0-9A-Fa-f]|(?:%[89A-Fa-f][0-9A-Fa-f])+")  # a character, or the bytes of some
+_ESCAPE = re.compile(r"(?:\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2})|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}")  # a surrogate pair is one
+_CONTROLS = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufffd]")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _MAGIC = ((b"\x1f\x8b", "gzip"), (b"x\x01", "zlib"), (b"x\x5e", "zlib"), (b"x\x9c", "zlib"), (b"x\xda", "zlib"), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"))
 SCHEMA = "rule string, layers string, depth int, span_start long, span_end long, secret_sha256 string, preview string"
@@ -70,41 +74,85 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
+def _kind(data: bytes) -> str | None:
+    return next((k for magic, k in _MAGIC if data.startswith(magic)), None)
+
+
 def _inflate(data: bytes, kind: str) -> bytes | None:
-    """Up to MAX_LAYER + 1 bytes; None if it isn't such a stream."""
-    try:
-        if kind in ("gzip", "zlib"):
-            return zlib.decompressobj(47).decompress(data, MAX_LAYER + 1)
-        return (bz2.BZ2Decompressor() if kind == "bzip2" else lzma.LZMADecompressor()).decompress(data, MAX_LAYER + 1)
-    except (zlib.error, OSError, ValueError, lzma.LZMAError, EOFError):
-        return None
+    """All members end to end, and bytes after them as they are, up to MAX_LAYER + 1; of a broken stream what comes before; None if it isn't such a stream."""
+    out, size = [], 0
+    while data and size <= MAX_LAYER:
+        if out and _kind(data) != kind:
+            rest = data.lstrip(b"\0")
+            if not rest or _kind(rest) != kind:
+                out.append(rest)
+                break
+            data = rest
+        d = zlib.decompressobj(47) if kind in ("gzip", "zlib") else bz2.BZ2Decompressor() if kind == "bzip2" else lzma.LZMADecompressor()
+        try:
+            for a in range(0, len(data), 1 << 14):
+                piece = d.decompress(data[a : a + (1 << 14)], MAX_LAYER + 1 - size)
+                out.append(piece)
+                size += len(piece)
+                if d.eof or size > MAX_LAYER:
+                    break
+        except (zlib.error, OSError, ValueError, lzma.LZMAError, EOFError):
+            break
+        if not d.eof:
+            break
+        data = d.unused_data + data[a + (1 << 14) :]
+    return b"".join(out)[: MAX_LAYER + 1] or None
 
 
 def _as_text(data: bytes) -> str | None:
-    """Decoded bytes that read as text."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
+    """Decoded bytes that read as text: one in five at most is a control character or no UTF-8."""
+    text = data.decode(errors="replace")
+    return text if text and len(_CONTROLS.findall(text)) * 5 <= len(text) else None
+
+
+def _undone(text: str, pattern: re.Pattern, decode) -> tuple[str, list[tuple[int, int, int, bool]]] | None:
+    """The layer with all that matches pattern decoded; its pieces: (start there, start and end in text, whether it is the same)."""
+    parts, pieces, at, to = [], [], 0, 0
+    for m in pattern.finditer(text):
+        if m.start() > at:
+            parts.append(text[at : m.start()])
+            pieces.append((to, at, m.start(), True))
+            to += m.start() - at
+        out = decode(m.group())
+        parts.append(out)
+        pieces.append((to, m.start(), m.end(), False))
+        to += len(out)
+        at = m.end()
+    if not pieces:
         return None
-    odd = sum(1 for c in text[:4096] if not (c.isprintable() or c in "\r\n\t"))
-    return text if text and odd * 20 <= min(len(text), 4096) else None
+    if at < len(text):
+        parts.append(text[at:])
+        pieces.append((to, at, len(text), True))
+    return "".join(parts), pieces
 
 
-def _decoded(text: str):
-    """(start, end, step, content) of the encoded parts of a layer."""
-    if "%" in text:
-        for m in _URL.finditer(text):
-            if not _PERCENT.search(m.group()):
-                continue
-            out = _as_text(unquote_to_bytes(m.group()))
-            if out is not None and out != m.group():
-                yield m.start(), m.end(), "url", out
-    if "\\u" in text or "\\x" in text:
-        for m in _ESCAPED.finditer(text):
-            if not _ESCAPE.search(m.group()):
-                continue
-            out = _ESCAPE.sub(lambda e: chr(int(e.group(1) or e.group(2), 16)), m.group())
-            yield m.start(), m.end(), "unicode", out.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+def _back(pieces, a: int, b: int) -> tuple[int, int]:
+    """The span in the layer above of [a, b) of a layer from _undone."""
+    i, j = (bisect_right(pieces, x, key=lambda p: p[0]) - 1 for x in (a, max(a, b - 1)))
+    to, lo, _, plain = pieces[i]
+    start = lo + (a - to if plain else 0)
+    to, lo, hi, plain = pieces[j]
+    return start, lo + (b - to) if plain else hi
+
+
+def _escape(e: str) -> str:
+    units = b"".join(int(x, 16).to_bytes(2, "little") for x in re.findall(r"[ux]([0-9a-fA-F]+)", e))
+    return units.decode("utf-16-le", "replace")
+
+
+_WHOLE = (
+    ("url", ("%",), _PERCENT, lambda x: unquote_to_bytes(x).decode(errors="replace")),
+    ("unicode", ("\\u", "\\x"), _ESCAPE, _escape),
+)
+
+
+def _base64s(text: str):
+    """(start, end, bytes) of the base64 parts of a layer."""
     for m in _BASE64.finditer(text):
         raw = m.group().rstrip("=")
         if raw.isalpha() and (raw.islower() or raw.isupper() or raw[1:].islower()):
@@ -112,25 +160,9 @@ def _decoded(text: str):
         body = raw.replace("-", "+").replace("_", "/")
         body = body[: len(body) - (len(body) % 4 == 1)]
         try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
+            yield m.start(), m.end(), base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
-        kind = next((k for magic, k in _MAGIC if data.startswith(magic)), None)
-        if kind and (inner := _inflate(data, kind)):
-            for step in range(8):  # streams inside streams
-                if len(inner) > MAX_LAYER:
-                    yield m.start(), m.end(), f"base64>{kind}", None
-                    break
-                if (out := _as_text(inner)) is not None:
-                    yield m.start(), m.end(), f"base64>{kind}", out
-                    break
-                nested = next((k for magic, k in _MAGIC if inner.startswith(magic)), None)
-                nxt = _inflate(inner, nested) if nested else None
-                if not nxt:
-                    break
-                kind, inner = f"{kind}>{nested}", nxt
-        elif (out := _as_text(data)) is not None:
-            yield m.start(), m.end(), "base64", out
 
 
 def _matches(text: str):
@@ -152,23 +184,47 @@ def _matches(text: str):
 
 def scan(text: str) -> list[tuple]:
     """(rule, layers, depth, span_start, span_end, sha256, preview) of one text."""
-    out, seen = [], {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
-    work = deque([(text, "", 0, None)])
+    out, seen, told, work = [], set(), set(), deque()
+
+    def put(content, path, depth, place, whole):
+        """place: the outermost part's span, or a chain of maps to the document's text. whole: it is the layer above, decoded."""
+        raw = content if isinstance(content, bytes) else content.encode("utf-8", "surrogatepass")
+        mark = isinstance(content, bytes), hashlib.sha256(raw).digest(), place if isinstance(place, tuple) else None
+        if mark not in seen:
+            seen.add(mark)
+            work.append((content, path, depth, place, whole))
+
+    def span(place, a, b):
+        if isinstance(place, tuple):
+            return place
+        for pieces in reversed(place):
+            a, b = _back(pieces, a, b)
+        return a, b
+
+    put(text, "", 0, [], False)
     while work:
-        layer, path, depth, span = work.popleft()
+        layer, path, depth, place, whole = work.popleft()
+        if isinstance(layer, bytes):  # bytes of a part: a stream, text or neither
+            kind = _kind(layer)
+            inner = _inflate(layer, kind) if kind else None
+            if inner and len(inner) > MAX_LAYER:
+                out.append(("oversized", f"{path}>{kind}", depth + 1, *place, hashlib.sha256(layer).hexdigest(), ""))
+            elif inner:
+                put(inner, f"{path}>{kind}", depth + 1, place, False)
+            elif (content := _as_text(layer)) is not None:
+                put(content, path, depth, place, False)
+            continue
         for rule, a, b, value in _matches(layer):
-            s, e = span or (a, b)
-            out.append((rule, path or "text", depth, s, e, hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest(), value[:4] + "*" * max(0, min(len(value), 12) - 4)))
-        for a, b, step, content in _decoded(layer):
-            s, e = span or (a, b)
-            way = f"{path}>{step}" if path else step
-            if content is None:
-                out.append(("oversized", way, depth + 1, s, e, hashlib.sha256(layer[a:b].encode()).hexdigest(), ""))
+            found = (rule, *span(place, a, b), hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest())
+            if whole and found in told:
                 continue
-            mark = hashlib.sha256(content.encode("utf-8", "surrogatepass")).digest() + (b"%d:%d" % (s, e) if span is None else b"")
-            if mark not in seen:
-                seen.add(mark)
-                work.append((content, way, depth + step.count(">") + 1, (s, e)))
+            told.add(found)
+            out.append((rule, path or "text", depth, *found[1:], value[:4] + "*" * max(0, min(len(value), 12) - 4)))
+        for step, sign, pattern, decode in _WHOLE:
+            if any(x in layer for x in sign) and (got := _undone(layer, pattern, decode)):
+                put(got[0], f"{path}>{step}" if path else step, depth + 1, place if isinstance(place, tuple) else [*place, got[1]], True)
+        for a, b, data in _base64s(layer):
+            put(data, f"{path}>base64" if path else "base64", depth + 1, span(place, a, b), False)
     return out
 
 
