@@ -7,6 +7,10 @@ a number. Windows of WINDOW template tokens with LITERALS other tokens at least
 hash-joined; an item of fewer tokens is one window by itself, if it has SHORT_LITERALS
 literal tokens. Windows that match on one alignment of item and document must fill the
 item's slots consistently: one name of the item is one name in the document throughout.
+A window's first token, if it has a capital, is a name or a literal: it stands for both.
+
+Windows of WINDOW case-folded words (or of a short item's) are joined alike, numbers as
+they are, so that a verbatim copy is found in any capitals and at any place.
 
 The benchmark's windows are broadcast up to ``max_windows``; a larger benchmark is
 taken in parts, one scan of the documents for each. Documents are never shuffled.
@@ -70,12 +74,39 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(K.Rolling(K.cp_values(cp)).span(bounds[:-1], bounds[1:]))
 
 
-class Template:
-    """Template tokens of texts: code, place in the text, and bounds of each text."""
+class _Tokens:
+    """Tokens of texts: code, place in the text, bounds of each text, and which have a capital."""
+
+    def __init__(self, text: str, code: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, capital: np.ndarray):
+        self.text, self.code, self.start, self.end, self.first, self.capital = text, code, start, end, first, capital
+        self.literal = np.concatenate([[0], np.cumsum(code >> np.uint64(63), dtype=np.int64)])
+        self.roll = K.Rolling(K.mix64(code))
+
+    def windows(self, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, first token) of the windows that lie in one text and have enough literals; two of one whose first token is a literal with a capital."""
+        n = len(self.code)
+        if n < size:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        at = np.arange(n - size + 1)
+        of = np.searchsorted(self.first, at, "right")
+        inside = at + size <= self.first[np.minimum(of, len(self.first) - 1)]
+        some = self.literal[at + size] - self.literal[at]
+        rest = lambda x: self.roll.span(x + 1, x + size) * np.uint64(0x9E3779B97F4A7C15)
+        as_is = at[inside & (some >= literals)]
+        named = at[inside & self.capital[at] & (some - 1 >= literals)]
+        h = [K.mix64(rest(as_is) + self.code[as_is]), K.mix64(rest(named) + _NAME)]
+        return np.concatenate(h), np.concatenate([as_is, named])
+
+    def slot(self, i: int) -> str:
+        return self.text[self.start[i] : self.end[i]].casefold()
+
+
+class Template(_Tokens):
+    """Template tokens of texts; plain: their words."""
 
     def __init__(self, texts: pa.Array):
         inside, capital, low = _tables()
-        self.text, cp, bounds = K.codepoints(K.strings(texts))
+        text, cp, bounds = K.codepoints(K.strings(texts))
         n = len(cp)
         head = np.zeros(n + 1, bool)
         head[bounds] = True
@@ -97,27 +128,13 @@ class Template:
         unit = joined | ((gap == 0) & ~fresh[: len(start)])
         unit &= prev_number & np.isin(code & np.uint64((1 << 63) - 1), _unit_hashes() & np.uint64((1 << 63) - 1))
         more = joined & ((number & prev_number & ((before == 46) | (before == 44))) | (name & prev_name))
+        words = np.where(number, code & np.uint64((1 << 63) - 1), code)
+        self.plain = _Tokens(text, words, start, end, first, np.zeros(len(start), bool))
         code[number], code[name], code[unit] = _NUM, _NAME, _UNIT
         keep = np.flatnonzero(~more)
         last = np.append(keep[1:], len(start)) - 1
-        self.code, self.start, self.end = code[keep], start[keep], end[last] if len(start) else end
-        self.first = np.searchsorted(keep, first)
-        self.literal = np.concatenate([[0], np.cumsum(self.code >> np.uint64(63), dtype=np.int64)])
-        self.roll = K.Rolling(K.mix64(self.code))
-
-    def windows(self, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, first token) of the windows that lie in one text and have enough literals."""
-        n = len(self.code)
-        if n < size:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        at = np.arange(n - size + 1)
-        of = np.searchsorted(self.first, at, "right")
-        ok = (at + size <= self.first[np.minimum(of, len(self.first) - 1)]) & (self.literal[at + size] - self.literal[at] >= literals)
-        at = at[ok]
-        return self.roll.span(at, at + size), at
-
-    def slot(self, i: int) -> str:
-        return self.text[self.start[i] : self.end[i]].casefold()
+        ends = end[last] if len(start) else end
+        super().__init__(text, code[keep], start[keep], ends, np.searchsorted(keep, first), (capital[cp[start]] & (code >> np.uint64(63) == 1))[keep])
 
 
 class Index:
@@ -125,57 +142,81 @@ class Index:
 
     def __init__(self, ids: list, texts: list, window: int, literals: int, short: int):
         self.ids, self.t = ids, Template(pa.array(texts, pa.string()))
+        self.by_size = [(t is self.t, size, *found) for t in (self.t, self.t.plain) for size, found in self._sizes(t, window, literals, short).items()]
+
+    @staticmethod
+    def _sizes(t: _Tokens, window: int, literals: int, short: int) -> dict[int, tuple]:
+        """{size: (sorted hashes, first tokens, literals)}"""
         found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
-        found[window].append(self.t.windows(window, literals))
-        sizes = np.diff(self.t.first)
+        found[window].append(t.windows(window, literals))
+        sizes = np.diff(t.first)
         for n in np.unique(sizes[(sizes < window) & (sizes > 0)]):
-            h, at = self.t.windows(int(n), short)
-            whole = np.isin(at, self.t.first[:-1][sizes == n])
+            h, at = t.windows(int(n), short)
+            whole = np.isin(at, t.first[:-1][sizes == n])
             found[int(n)].append((h[whole], at[whole]))
-        self.by_size = {}
+        out = {}
         for size, parts in found.items():
             h, at = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(h, kind="stable")
-            self.by_size[size] = (h[order], at[order], literals if size == window else short)
+            out[size] = h[order], at[order], literals if size == window else short
+        return out
 
     def matches(self, t: Template):
-        """{(text, item): [(token in the text, token in the item, size)]}"""
-        out = defaultdict(list)
-        for size, (keys, item_at, literals) in self.by_size.items():
+        """{(text, item): ([(token in the text, token in the item, size)], the same of words)}"""
+        out = defaultdict(lambda: (set(), set()))
+        for template, size, keys, item_at, literals in self.by_size:
             if not len(keys):
                 continue
-            h, at = t.windows(size, literals)
+            own, its = (self.t, t) if template else (self.t.plain, t.plain)
+            h, at = its.windows(size, literals)
             i = np.searchsorted(keys, h)
             i[i == len(keys)] = 0
             for k in np.flatnonzero(keys[i] == h):
                 j = i[k]
                 while j < len(keys) and keys[j] == h[k]:
-                    item = int(np.searchsorted(self.t.first, item_at[j], "right")) - 1
-                    text = int(np.searchsorted(t.first, at[k], "right")) - 1
-                    out[text, item].append((int(at[k]), int(item_at[j]), size))
+                    item = int(np.searchsorted(own.first, item_at[j], "right")) - 1
+                    text = int(np.searchsorted(its.first, at[k], "right")) - 1
+                    out[text, item][not template].add((int(at[k]), int(item_at[j]), size))
                     j += 1
         return out
 
-    def consistent(self, t: Template, hits: list[tuple[int, int, int]]):
+    def best(self, t: Template, item: int, hits: tuple[set, set]):
+        """(windows, share of the item's tokens covered, verbatim, first token) of the best alignment, or None; of words where they cover more than consistent templates."""
+        out = None
+        for own, its, found, kind in ((self.t, t, hits[0], None), (self.t.plain, t.plain, hits[1], True)):
+            if got := found and self._consistent(own, its, found):
+                share = got[1] / int(own.first[item + 1] - own.first[item])
+                if out is None or share > out[1] or share == out[1] and kind and not out[2]:
+                    first = got[3] if kind is None else int(np.searchsorted(t.start, its.start[got[3]], "right")) - 1
+                    out = got[0], share, kind or got[2], first
+        return out
+
+    @staticmethod
+    def _consistent(own: _Tokens, its: _Tokens, hits: set[tuple[int, int, int]]):
         """(windows, item tokens covered, verbatim, first token) of the best alignment without a contradiction."""
         by = defaultdict(list)
-        for a, b, size in hits:
+        for a, b, size in sorted(hits):
             by[a - b].append((a, b, size))
         best = None
-        for shift, group in by.items():
-            covered, names, ok, same = set(), {}, True, True
-            for _, b, size in group:
-                covered.update(range(b, b + size))
-            for b in covered:
-                if self.t.code[b] >> np.uint64(63):
-                    continue
-                x, y = self.t.slot(b), t.slot(b + shift)
-                same &= x == y
-                if self.t.code[b] == _NAME and names.setdefault(x, y) != y:
-                    ok = False
+        for shift, every in by.items():
+            strict = [x for x in every if own.code[x[1]] == its.code[x[0]]]  # without those whose first token is a name here, a literal there
+            for group in (every, strict) if 0 < len(strict) < len(every) else (every,):
+                covered, names, ok, same = set(), {}, True, True
+                for _, b, size in group:
+                    covered.update(range(b, b + size))
+                for b in covered:
+                    here, there = own.code[b], its.code[b + shift]
+                    if here >> np.uint64(63) and here == there:
+                        continue
+                    x, y = own.slot(b), its.slot(b + shift)
+                    same &= x == y
+                    if (here == _NAME or here >> np.uint64(63)) and names.setdefault(x, y) != y:
+                        ok = False
+                        break
+                if ok:
+                    if best is None or len(covered) > best[1]:
+                        best = (len(group), len(covered), same, min(a for a, _, _ in group))
                     break
-            if ok and (best is None or len(covered) > best[1]):
-                best = (len(group), len(covered), same, min(a for a, _, _ in group))
         return best
 
 
@@ -195,7 +236,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals:
     """(doc_id, item_id, windows, covered, kind, first_token): a row for each item in each document.
 
     kind is verbatim if all slots agree, else reparameterised; covered is the share of
-    the item's template tokens.
+    the item's template tokens, or of its words where those are covered better.
     """
     types = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
     doc_type, item_type = (pa.int64() if x in ("bigint", "long") else pa.int32() if x == "int" else pa.string() for x in types)
@@ -208,9 +249,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals:
                 rows = []
                 ids = part.column("doc_id")
                 for (text, item), hits in index.matches(t).items():
-                    if best := index.consistent(t, hits):
-                        n = int(index.t.first[item + 1] - index.t.first[item])
-                        rows.append((ids[text].as_py(), index.ids[item], best[0], best[1] / n, "verbatim" if best[2] else "reparameterised", best[3] - int(t.first[text])))
+                    if best := index.best(t, item, hits):
+                        rows.append((ids[text].as_py(), index.ids[item], best[0], best[1], "verbatim" if best[2] else "reparameterised", best[3] - int(t.first[text])))
                 if rows:
                     c = list(zip(*rows, strict=True))
                     kinds = (doc_type, item_type, pa.int64(), pa.float64(), pa.string(), pa.int64())
@@ -239,8 +279,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lite
                 for a, b in K.slices(column):
                     t = Template(column.slice(a, b - a))
                     keep = np.ones(b - a, bool)
-                    for (text, _), hits in index.matches(t).items():
-                        if keep[text] and index.consistent(t, hits):
+                    for (text, item), hits in index.matches(t).items():
+                        if keep[text] and index.best(t, item, hits):
                             keep[text] = False
                     yield batch.slice(a, b - a).filter(pa.array(keep))
             K.give_back()
