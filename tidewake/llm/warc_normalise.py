@@ -5,7 +5,8 @@ its own, and its place in the new file goes into an index, so that a single reco
 be read by offset. One task takes one archive; records are never held whole.
 
 The new file is written under a temporary name in the output folder and renamed when it
-is complete, so a task that is run again replaces it by the same bytes.
+is complete, so a task that is run again replaces it by the same bytes. Its index rows
+are written and renamed alike by the same task, as Parquet beside it (``sidecar``).
 
 Defined results: an archive that is many members already is taken alike; an empty
 archive gives an empty file and no rows; one that is cut short or broken gives the
@@ -22,6 +23,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,10 +132,15 @@ def _batches(rows):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _TYPES, strict=True)], names=_NAMES)
 
 
+def sidecar(path: str) -> str:
+    """Where the index of a normalised archive stands."""
+    return f"{path}.index.parquet"
+
+
 def normalise(archives: DataFrame, out_dir: str, level: int = LEVEL) -> DataFrame:
     """Rewrite the archives(path) into out_dir under their names; the index, a row a record.
 
-    Files are written as the result is computed; write the index beside them as the sidecar.
+    Files and their sidecars are written as the result is computed.
     """
 
     def run(batches):
@@ -143,9 +150,17 @@ def normalise(archives: DataFrame, out_dir: str, level: int = LEVEL) -> DataFram
                 source_fs, place = _open(path)
                 name = place.rsplit("/", 1)[-1]
                 part = f"{folder}/.{name}.{uuid.uuid4().hex}"
-                with source_fs.open_input_stream(place, compression=None) as source, target_fs.open_output_stream(part, compression=None) as sink:
-                    yield from _batches(rewrite(source, sink, name, level))
+                with (
+                    source_fs.open_input_stream(place, compression=None) as source,
+                    target_fs.open_output_stream(part, compression=None) as sink,
+                    target_fs.open_output_stream(f"{part}.index", compression=None) as side,
+                    pq.ParquetWriter(side, pa.schema(list(zip(_NAMES, _TYPES, strict=True)))) as index,
+                ):
+                    for rows in _batches(rewrite(source, sink, name, level)):
+                        index.write_batch(rows)
+                        yield rows
                 target_fs.move(part, f"{folder}/{name}")
+                target_fs.move(f"{part}.index", sidecar(f"{folder}/{name}"))
 
     return arrow(archives.where("path is not null").select("path"), run, SCHEMA)
 
