@@ -4,8 +4,10 @@ Each text becomes a stream of token ids; a rolling hash over WINDOW ids cuts it
 chunks where its low bits are zero, so that an edit changes the chunks around it only.
 A chunk is named by the SHA-256 of its bytes and stored once. A document's recipe lists
 its chunks in order, with the root of their Merkle tree. Manifests hold the roots of
-SHARD_DOCS consecutive doc_ids and the root of the tree over those; ``verify`` rebuilds
-streams and checks every level.
+SHARD_DOCS consecutive doc_ids and the root of the tree over those. ``verify`` checks
+chunks against their names, recipes and manifests against their roots, counts of ids
+against bytes, and recipes against the manifests' leaves both ways; ``streams`` fails on
+a chunk that is missing. The texts themselves aren't in the store to be held against.
 
 One shuffle by key takes chunks, recipes and manifest leaves to where they are merged.
 
@@ -156,26 +158,56 @@ def streams(rows: DataFrame) -> DataFrame:
     at = recipes.select("rid", "doc_id", "root", F.posexplode_outer(F.expr("case when length(refs) = 0 then array() else transform(sequence(0, cast(length(refs) / 32 as int) - 1), i -> substring(refs, i * 32 + 1, 32)) end")).alias("pos", "ref"))
     chunks = rows.where("kind = 'chunk'").select(F.col("key").alias("ref"), "payload")
     parts = at.join(chunks, "ref", "left").groupBy("rid", "doc_id", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "payload"))).alias("parts"))
-    return parts.select("doc_id", "root", F.expr("aggregate(parts, cast('' as binary), (s, p) -> concat(s, coalesce(p.payload, cast('' as binary))))").alias("ids"))
+    return parts.select("doc_id", "root", F.expr("aggregate(parts, cast('' as binary), (s, p) -> concat(s, coalesce(p.payload, case when p.pos is null then cast('' as binary) else cast(raise_error('a chunk of the recipe is missing') as binary) end)))").alias("ids"))
+
+
+def _leaves(batches):
+    """The (doc_id, root) that manifests hold."""
+    for b in batches:
+        for key, ids, roots in zip(b.column("key").to_pylist(), b.column("payload").to_pylist(), b.column("refs").to_pylist(), strict=True):
+            ids, roots = ids or b"", roots or b""
+            docs = [None if key == b"null" else int.from_bytes(ids[i : i + 8], "big", signed=True) for i in range(0, len(ids), 8)]
+            n = min(len(docs), len(roots) // 32)  # verify tells of other lengths
+            yield pa.RecordBatch.from_arrays([pa.array(docs[:n], pa.int64()), pa.array([roots[i * 32 : i * 32 + 32] for i in range(n)], pa.binary())], names=["doc_id", "root"])
 
 
 def verify(rows: DataFrame) -> DataFrame:
-    """(kind, key, problem) of rows that don't hold: chunks against their keys, recipes and manifests against their roots and parts."""
+    """(kind, key, problem) of what doesn't hold: chunks against their keys, recipes and manifests against their roots, parts and counts, and each against the other."""
 
     def check(batches):
         for b in batches:
             bad = []
             for r in b.to_pylist():
-                refs = [r["refs"][i : i + 32] for i in range(0, len(r["refs"] or b""), 32)]
-                if r["kind"] == "chunk" and hashlib.sha256(r["payload"]).digest() != r["key"]:
-                    bad.append((r["kind"], r["key"], "bytes differ from the key"))
-                elif r["kind"] != "chunk" and merkle_root(refs) != r["root"]:
-                    bad.append((r["kind"], r["key"], "parts differ from the root"))
+                kind, refs = r["kind"], [r["refs"][i : i + 32] for i in range(0, len(r["refs"] or b""), 32)]
+                size = len(r["payload"] or b"")
+                if kind == "chunk":
+                    if hashlib.sha256(r["payload"] or b"").digest() != r["key"]:
+                        bad.append((kind, r["key"], "bytes differ from the key"))
+                    if size not in (2 * (r["n_ids"] or 0), 4 * (r["n_ids"] or 0)):
+                        bad.append((kind, r["key"], "bytes differ from n_ids"))
+                    continue
+                if merkle_root(refs) != r["root"] or kind == "recipe" and r["key"] != r["root"]:
+                    bad.append((kind, r["key"], "parts differ from the root"))
+                if kind == "manifest" and not len(refs) == r["n_ids"] == size / 8:
+                    bad.append((kind, r["key"], "parts differ from n_ids"))
+                if kind == "manifest" and any(_shard(None if r["key"] == b"null" else int.from_bytes(r["payload"][i : i + 8], "big", signed=True)) != r["key"] for i in range(0, size, 8)):
+                    bad.append((kind, r["key"], "a doc_id of another shard"))
             if bad:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*bad, strict=True), (pa.string(), pa.binary(), pa.string()), strict=True)], names=["kind", "key", "problem"])
 
     wrong = arrow(rows, check, "kind string, key binary, problem string")
-    recipes = rows.where("kind = 'recipe' and length(refs) > 0")
-    asked = recipes.select("root", F.explode(F.expr("transform(sequence(0, cast(length(refs) / 32 as int) - 1), i -> substring(refs, i * 32 + 1, 32))")).alias("ref"))
-    lost = asked.join(rows.where("kind = 'chunk'").select(F.col("key").alias("ref")), "ref", "left_anti").select(F.lit("recipe").alias("kind"), F.col("root").alias("key"), F.lit("a chunk is missing").alias("problem"))
-    return wrong.unionByName(lost)
+    recipes = rows.where("kind = 'recipe'")
+    parts = recipes.select("root", "n_ids", F.expr("case when coalesce(length(refs), 0) = 0 then array() else transform(sequence(0, cast(length(refs) / 32 as int) - 1), i -> substring(refs, i * 32 + 1, 32)) end").alias("refs")).distinct()
+    asked = parts.select("root", "n_ids", F.explode_outer("refs").alias("ref"))
+    chunks = rows.where("kind = 'chunk'").groupBy(F.col("key").alias("ref")).agg(F.max("n_ids").alias("has"), F.count("*").alias("times"))
+    found = asked.join(chunks, "ref", "left")
+    sums = found.groupBy("root", "n_ids").agg(F.sum(F.when(F.col("ref").isNotNull() & F.col("has").isNull(), 1).otherwise(0)).alias("lost"), F.coalesce(F.sum("has"), F.lit(0)).alias("has"))
+    said = lambda df, kind, key, problem: df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.lit(problem).alias("problem"))
+    leaves = arrow(rows.where("kind = 'manifest'").select("key", "payload", "refs"), _leaves, "doc_id long, root binary")
+    both = leaves.select("doc_id", "root", F.lit(1).alias("leaf")).unionByName(recipes.select("doc_id", "root", F.lit(-1).alias("leaf")))
+    uneven = both.groupBy("doc_id", "root").agg(F.sum("leaf").alias("more")).where("more <> 0")
+    out = wrong.unionByName(said(sums.where("lost > 0"), "recipe", "root", "a chunk is missing"))
+    out = out.unionByName(said(sums.where("lost = 0 and not n_ids <=> has"), "recipe", "root", "n_ids differ from the chunks"))
+    out = out.unionByName(said(chunks.where("times > 1"), "chunk", "ref", "stands twice"))
+    out = out.unionByName(said(uneven.where("more > 0"), "manifest", "root", "a leaf has no recipe"))
+    return out.unionByName(said(uneven.where("more < 0"), "recipe", "root", "the recipe isn't in the manifest"))
