@@ -108,6 +108,12 @@ def weak_components(spark, d):
     return labels.join(root, "label").groupBy("component").agg(F.count("*").alias("n"))
 
 
+@query()
+def weak_components_all(spark, d):
+    """Components over all foreign keys: their least id and size; a test has union-find over the same edges."""
+    return closure.min_label_components(fk_edges(spark, d)).groupBy(F.col("label").alias("component")).agg(F.count("*").alias("n"))
+
+
 @query(f"with {FK}, e as (select distinct src, dst from edges), nodes as (select src as id from e union select dst from e), i as (select dst as id, count(*) as c from e group by 1), o as (select src as id, count(*) as c from e group by 1) select cast(coalesce(i.c, 0) as bigint) as indeg, cast(coalesce(o.c, 0) as bigint) as outdeg, count(*) as n from nodes left join i using (id) left join o using (id) group by 1, 2")
 def degree_stats(spark, d):
     e = fk_edges(spark, d).distinct()
@@ -280,6 +286,14 @@ def snapshot_diff(spark, d):
     return diff.compare_states(c.where("id % 5 <> 0"), new, table(spark, d, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").alias("file")))
 
 
+@query("select coalesce(c_custkey, s_suppkey) as id, case when c_custkey is null then 'added' when s_suppkey is null then case when c_nationkey < 3 then 'modified' else 'deleted' end else 'modified' end as status from customer full join supplier on c_custkey = s_suppkey where c_custkey is null or s_suppkey is null or c_nationkey <> s_nationkey")
+def snapshot_diff_tables(spark, d):
+    """The whole of customer against the whole of supplier."""
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("code"), F.col("c_nationkey").alias("file"))
+    new = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("code"))
+    return diff.compare_states(old, new, table(spark, d, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").alias("file")))
+
+
 @query("with s as (select doc_id as id, source as file, sum(n_chars) over (partition by source order by doc_id) as e, sum(n_chars) over (partition by source order by doc_id) - n_chars as b from documents), h as (select 'src' || (event_id % 20) as file, event_id * 7 as hs, event_id * 7 + 40 as he from events) select distinct s.id from s join h on s.file = h.file and hs <= e and he >= b")
 def changed_symbols_interval(spark, d):
     end = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id"))
