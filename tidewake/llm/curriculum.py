@@ -5,7 +5,8 @@ add to 1 at each knot. Its integral times the token budget is what the source mu
 supplied by t. A document's tokens stand somewhere in its source's stream (documents in
 the order of md5(doc_id)), and the time at which demand reaches their middle is the
 document's training position; documents are range-sorted by it. A source that demands
-more than it has starts over (``max_epochs``); what exceeds its demand isn't used.
+more than it has starts over, as often as its demand takes (up to ``max_epochs``, if that
+is given); what exceeds its demand isn't used.
 
 Prefix sums are taken in two levels, over buckets of a source and inside a bucket, so a
 hot source is spread over BUCKETS tasks.
@@ -26,7 +27,6 @@ from tidewake.runtime import cut, fresh
 
 #: Hex digits of md5 that make a bucket.
 BUCKET_DIGITS = 3
-MAX_EPOCHS = 4
 #: Knots of time, and at each the exponent's blend of natural shares and their square roots.
 KNOTS = (0.0, 0.5, 1.0)
 FLATNESS = (0.0, 1.0, 1.0)
@@ -61,7 +61,7 @@ def _position(x, knots):
     return out
 
 
-def _placed(docs: DataFrame, keep: list[str], budget: int | None, knots, flatness, max_epochs: int) -> DataFrame:
+def _placed(docs: DataFrame, keep: list[str], budget: int | None, knots, flatness, max_epochs: int | None) -> DataFrame:
     source, n, key, bucket = fresh(docs, "tw_source", "tw_n", "tw_key", "tw_bucket")
     df = docs.select(
         *keep, F.coalesce("source", F.lit("unknown")).alias(source), F.regexp_count("text", F.lit(r"\S+")).cast("long").alias(n),
@@ -82,19 +82,21 @@ def _placed(docs: DataFrame, keep: list[str], budget: int | None, knots, flatnes
     df = df.withColumn("tw_upto", F.sum(n).over(within))
     df = df.join(F.broadcast(cut(sums)), (F.col(source) == F.col("tw_s")) & (F.col(bucket) == F.col("tw_b")))
     last = len(knots) - 1
-    df = df.withColumn("tw_epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
+    uses = F.greatest(F.lit(1), F.ceil(F.col(f"c{last}") * F.col("total") / F.col("supply")).cast("int"))
+    uses = uses if max_epochs is None else F.least(uses, F.lit(max_epochs))
+    df = df.withColumn("tw_epoch", F.explode(F.sequence(F.lit(0), uses - 1)))
     x = (F.col("tw_epoch") * F.col("supply") + F.col("ahead") + F.col("tw_upto") - F.col(n) / F.lit(2.0)) / F.col("total")
     return df.withColumn("tw_x", x).where(F.col("tw_x") <= F.col(f"c{last}")).withColumn("tw_position", _position(F.col("tw_x"), knots)).withColumnRenamed(source, "tw_source_").withColumnRenamed(n, "tw_n_")
 
 
-def positions(docs: DataFrame, budget: int | None = None, knots=KNOTS, flatness=FLATNESS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def positions(docs: DataFrame, budget: int | None = None, knots=KNOTS, flatness=FLATNESS, max_epochs: int | None = None) -> DataFrame:
     """(doc_id, source, n_tokens, epoch, position), a row for each use of a document, in training order."""
     d = _placed(docs, ["doc_id"], budget, knots, flatness, max_epochs)
     out = d.select("doc_id", F.col("tw_source_").alias("source"), F.col("tw_n_").alias("n_tokens"), F.col("tw_epoch").alias("epoch"), F.round("tw_position", 6).alias("position"))
     return out.orderBy("position", "doc_id")
 
 
-def mixed(docs: DataFrame, budget: int | None = None, knots=KNOTS, flatness=FLATNESS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def mixed(docs: DataFrame, budget: int | None = None, knots=KNOTS, flatness=FLATNESS, max_epochs: int | None = None) -> DataFrame:
     """The rows of docs in training order, each as often as it is used."""
     names = [f"tw_c{i}" for i in range(len(docs.columns))]
     d = docs.select("*", *[F.col(f"`{c}`").alias(t) for c, t in zip(docs.columns, names, strict=True)])
