@@ -32,6 +32,8 @@ from . import kernels as K
 ORDER = 5
 #: Rows of the model's key table that are broadcast at most (12 bytes each).
 LOOKUP_ROWS = 8_000_000
+#: Documents of a chunk, where keys are joined.
+CHUNK_DOCS = 4000
 #: Threshold: this quantile of the log-perplexities of a language's trusted texts.
 QUANTILE = 0.99
 #: Characters at the language's mean rate that are added to each text, so that a few words can't decide.
@@ -223,10 +225,12 @@ def score(docs: DataFrame, model_entries: DataFrame, nll: str = "nll", n: str =
 
         return arrow(docs, whole, schema)
 
+    # by all columns, so that the copies of a text are in many chunks; a chunk is a group, not a partition
     (chunk,) = fresh(docs, "chunk")
-    chunks = chunks or max(spark.sparkContext.defaultParallelism, docs.count() // 4000 + 1)
-    cut_docs = docs.withColumn(chunk, F.pmod(F.xxhash64("text"), F.lit(chunks)))
-    rows = cut_docs.select(F.col(chunk).alias("chunk"), F.col(model).alias("model"), "text").repartition(chunks, "chunk")
+    chunks = chunks or max(spark.sparkContext.defaultParallelism, docs.count() // CHUNK_DOCS + 1)
+    spread = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)]
+    cut_docs = docs.withColumn(chunk, F.pmod(F.xxhash64(*spread), F.lit(chunks)))
+    rows = cut_docs.select(F.col(chunk).alias("chunk"), F.col(model).alias("model"), "text")
     asked = arrow(rows, _request, "chunk long, key long").distinct()
     answers = asked.join(table, "key")
 
@@ -251,37 +255,38 @@ def _with_model(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, str, str
     return df.withColumn(model, F.xxhash64(lang).bitwiseAND(F.lit(-2)) + fold), lang, trusted, model
 
 
-def _rates(scored: DataFrame, lang: str, nll: str, n: str, quantile: float, prior: float) -> DataFrame:
+def _rates(scored: DataFrame, lang: str, nll: str, n: str, quantile: float, prior: float, names: tuple = ("tw_of", "mean_rate", "limit_rate")) -> DataFrame:
     """A language's mean rate and threshold."""
-    means = scored.groupBy(lang).agg((F.sum(nll) / F.sum(n)).alias("mean_rate"))
-    rate = (F.col(nll) + prior * F.col("mean_rate")) / (F.col(n) + prior)
-    q = scored.join(F.broadcast(means), lang).groupBy(lang, "mean_rate").agg(F.percentile_approx(rate, quantile, 100_000).alias("limit_rate"))
-    return q.select(F.col(lang).alias("tw_of"), "mean_rate", "limit_rate")
+    of, mean, limit = names
+    means = scored.groupBy(lang).agg((F.sum(nll) / F.sum(n)).alias(mean))
+    rate = (F.col(nll) + prior * F.col(mean)) / (F.col(n) + prior)
+    q = scored.join(small(means), lang).groupBy(lang, mean).agg(F.percentile_approx(rate, quantile, 100_000).alias(limit))
+    return q.select(F.col(lang).alias(of), mean, limit)
 
 
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, prior: float = PRIOR_CHARS, lookup_rows: int = LOOKUP_ROWS) -> tuple[DataFrame, dict]:
     """docs with scores, rates and thresholds; the names of the added columns."""
     df, lang, trusted, model = _with_model(docs, labels)
-    nll, n, rate = fresh(df, "tw_nll", "tw_n", "tw_rate")
+    nll, n, rate, mean, limit, of = fresh(df, "tw_nll", "tw_n", "tw_rate", "tw_mean", "tw_limit", "tw_of")
+    c = {"lang": lang, "trusted": trusted, "nll": nll, "n": n, "rate": rate, "mean": mean, "limit": limit, "of": of}
     texts = df.where(F.col(trusted)).select((F.col(model).bitwiseXOR(F.lit(1))).alias("model"), "text")
     ent = cut(entries(texts))
     scored_trusted = cut(score(df.where(F.col(trusted)).select(lang, model, "text"), ent, nll, n, model, lookup_rows).where(F.col(nll).isNotNull()).select(lang, nll, n))
-    limits = cut(_rates(scored_trusted, lang, nll, n, quantile, prior))
-    out = score(df, ent, nll, n, model, lookup_rows).join(small(limits), F.col(lang) == F.col("tw_of"), "left")
-    out = out.withColumn(rate, (F.col(nll) + prior * F.col("mean_rate")) / (F.col(n) + prior))
-    return out, {"lang": lang, "trusted": trusted, "nll": nll, "n": n, "rate": rate}
+    limits = cut(_rates(scored_trusted, lang, nll, n, quantile, prior, (of, mean, limit)))
+    out = score(df, ent, nll, n, model, lookup_rows).join(small(limits), F.col(lang) == F.col(of), "left")
+    return out.withColumn(rate, (F.col(nll) + prior * F.col(mean)) / (F.col(n) + prior)), c
 
 
 def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """A row for each document: doc_id, lang, n_chars_scored, perplexity, threshold, keep."""
     out, c = judged(docs.select("doc_id", "text", "lang"), labels, **how)
     return out.select(
-        "doc_id", F.col(c["lang"]).alias("lang"), F.col(c["n"]).alias("n_chars_scored"), F.exp(c["rate"]).alias("perplexity"), F.exp("limit_rate").alias("threshold"),
-        F.coalesce(F.col(c["rate"]) <= F.col("limit_rate"), F.lit(True)).alias("keep"),
+        "doc_id", F.col(c["lang"]).alias("lang"), F.col(c["n"]).alias("n_chars_scored"), F.exp(c["rate"]).alias("perplexity"), F.exp(c["limit"]).alias("threshold"),
+        F.coalesce(F.col(c["rate"]) <= F.col(c["limit"]), F.lit(True)).alias("keep"),
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The documents that the classifier keeps, with the columns of docs."""
     out, c = judged(docs, labels, **how)
-    return out.where(F.coalesce(F.col(c["rate"]) <= F.col("limit_rate"), F.lit(True))).select(*[f"`{x}`" for x in docs.columns])
+    return out.where(F.coalesce(F.col(c["rate"]) <= F.col(c["limit"]), F.lit(True))).select(*[f"`{x}`" for x in docs.columns])
