@@ -50,7 +50,7 @@ class PrefixCounter:
 
     def counts(self, piece: str) -> list[int]:
         """Tokens of each prefix of a piece, by characters."""
-        if piece[0] == "'" and len(piece) > 1:  # a contraction's prefixes are split otherwise
+        if piece[0] == "'" and 1 < len(piece) <= 3:  # a contraction's prefixes are split otherwise
             return [len(self.coder.encode_ordinary(piece[:i])) for i in range(1, len(piece) + 1)]
         data, ranks, pairs, longest, heads = piece.encode("utf-8", "surrogatepass"), self.ranks, self.pairs, self.longest, self.heads
         n = len(data)
