@@ -10,7 +10,8 @@ what the driver gets doesn't grow with the input.
 
 Defined results: null and empty texts, and those without a word, get abstentions only and
 so the prior as posterior; repeated rows each get a row; an empty table gives an empty
-result; other columns are ignored.
+result; a text of a language without a stop-word list (by ``lang``, or without that by a
+script other than Latin) gets no vote on stop words; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,17 +22,17 @@ from pyspark.sql import functions as F
 
 from tidewake.runtime import cut
 
-STOPWORDS = (
-    "the of and to in is it that for was on as with be by this are from at an or not "
-    "le la les de des du et un une est que qui en dans pour par sur au aux il elle ne pas avec "
-    "der die das und den dem ein eine ist nicht mit von zu sich auf für im es auch als "
-    "el los las del y o se su con no lo al una por para como más pero sus"
-).split()
+STOPWORDS = {
+    "en": "the of and to in is it that for was on as with be by this are from at an or not",
+    "fr": "le la les de des du et un une est que qui en dans pour par sur au aux il elle ne pas avec",
+    "de": "der die das und den dem ein eine ist nicht mit von zu sich auf für im es auch als",
+    "es": "el los las del y o se su con no lo al una por para como más pero sus",
+}
 #: name: (measure, bad, good), the latter as SQL conditions on x.
 RULES = {
     "symbols": ("symbols / chars", "x > 0.05", "x < 0.01"),
     "capitals": ("capitals / letters", "x > 0.30", "x < 0.12"),
-    "stopwords": ("stops / words", "x < 0.05", "x > 0.15"),
+    "stopwords": ("if(listed, stops / words, null)", "x < 0.05", "x > 0.15"),
     "adjacent_repeats": ("repeats / words", "x > 0.10", "x < 0.02"),
     "word_length": ("(chars - words + 1) / words", "x > 12 or x < 2", "x between 3 and 9"),
     "doubled_marks": ("doubled / words", "x > 0.10", "x < 0.005"),
@@ -47,9 +48,11 @@ RIGHT_ON_GOOD, RIGHT_ON_BAD, SEEN, PRIOR = 0.98, 0.35, 20.0, 0.8
 def measures(docs: DataFrame) -> DataFrame:
     """(doc_id, counts of a text)."""
     count = lambda p: F.regexp_count("text", F.lit(p)).cast("double")
+    lang = F.lower(F.substring_index("lang", "-", 1)) if "lang" in docs.columns else F.lit(None).cast("string")
+    latin = F.regexp_count("text", F.lit(r"\p{IsLatin}")) * 2 >= F.regexp_count("text", F.lit(r"\p{L}"))
     return docs.select(
-        "doc_id", F.length("text").cast("double").alias("chars"), count(r"\S+").alias("words"), count(r"[^\p{L}\p{N}\s.,;:!?'\"()-]").alias("symbols"), count(r"\p{Lu}").alias("capitals"), count(r"\p{L}").alias("letters"),
-        count(r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(STOPWORDS) + r")(?![\p{L}\p{N}])").alias("stops"), count(r"(?i)(?<!\S)(\S+)(?=\s+\1(?!\S))").alias("repeats"), count(r"([!?|#%&*$.])\1").alias("doubled"),
+        "doc_id", F.when(lang.isNull() | (lang == "und"), latin).otherwise(lang.isin(*STOPWORDS)).alias("listed"), F.length("text").cast("double").alias("chars"), count(r"\S+").alias("words"), count(r"[^\p{L}\p{N}\s.,;:!?'\"()-]").alias("symbols"), count(r"\p{Lu}").alias("capitals"), count(r"\p{L}").alias("letters"),
+        count(r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(sorted({w for x in STOPWORDS.values() for w in x.split()})) + r")(?![\p{L}\p{N}])").alias("stops"), count(r"(?i)(?<!\S)(\S+)(?=\s+\1(?!\S))").alias("repeats"), count(r"([!?|#%&*$.])\1").alias("doubled"),
         F.size(F.array_distinct(F.split("text", r"\s+"))).cast("double").alias("distinct_words"),
     )
 
@@ -81,7 +84,7 @@ def estimate(patterns: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple
 
 def posteriors(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, votes_good, votes_bad, posterior, keep): a row for each document."""
-    v = cut(votes(docs.select("doc_id", "text")))
+    v = cut(votes(docs))
     names = [f"v_{n}" for n in RULES]
     got = v.groupBy(*names).count().toPandas()
     good, bad, prior = estimate(got[names].to_numpy(np.int64).reshape(-1, len(names)), got["count"].to_numpy(np.float64), rounds)
