@@ -7,8 +7,9 @@ term swapped for each of a few others of its language, and the squared change of
 (logit) is added to the loss, times ``penalty``: a group's name alone can't move a score,
 so neutral mentions of groups aren't held against a text.
 
-A bounded sample of labelled rows is used for fitting (``sample`` of either class, the
-rows that come first by a hash of doc_id); every document is scored, whole.
+A bounded sample of labelled documents is used for fitting (``sample`` of either class and
+``sample_chars`` characters of those, the ones that come first by a hash of doc_id; one row
+of a doc_id that repeats); every document is scored, whole.
 
 Defined results: null or empty text has score sigmoid(bias) and isn't toxic; without
 labels of both kinds nothing is toxic and scores are null; a doc_id labelled twice is
@@ -21,7 +22,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.runtime import arrow
@@ -31,8 +32,8 @@ from . import kernels as K
 SLOT_BITS = 20
 #: Bytes of word beginnings that are features besides whole words.
 BEGINNINGS = (4, 5, 6, 7, 8)
-#: Labelled documents of each class that the model is fitted on at most.
-SAMPLE = 4_000
+#: Labelled documents of each class that the model is fitted on at most, and their characters.
+SAMPLE, SAMPLE_CHARS = 4_000, 60_000_000
 #: Chi-square with which a feature tells the classes apart, at least.
 CHI2 = 12.0
 PENALTY = 5.0
@@ -48,8 +49,11 @@ IDENTITY = {
     "de": "frauen männer muslime christen juden buddhisten atheisten einwanderer flüchtlinge asiaten afrikaner europäer schwarze weiße schwule lesben behinderte gehörlose blinde alte junge",
     "es": "mujeres hombres musulmanes cristianos judíos budistas ateos inmigrantes refugiados asiáticos africanos europeos negros blancos gays lesbianas discapacitados sordos ciegos viejos jóvenes",
 }
-_GROUPS = {w: lang for lang, ws in IDENTITY.items() for w in ws.split()}
-_TERM = re.compile(r"\b(" + "|".join(sorted(_GROUPS, key=len, reverse=True)) + r")\b", re.IGNORECASE)
+_LISTS = {lang: ws.split() for lang, ws in IDENTITY.items()}
+_OWN = {lang: {w: ws for w in ws} for lang, ws in _LISTS.items()}
+#: For texts of an unknown language: the terms that one language alone has.
+_OWN[None] = {w: ws for ws in _LISTS.values() for w in ws if sum(w in x for x in _LISTS.values()) == 1}
+_TERM = {lang: re.compile(r"\b(" + "|".join(sorted(terms, key=len, reverse=True)) + r")\b", re.IGNORECASE) for lang, terms in _OWN.items()}
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]?")
 
 
@@ -74,15 +78,17 @@ def features(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndar
     return (key & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64), bounds
 
 
-def swapped(text: str, swaps: int = SWAPS) -> list[tuple[str, str]]:
+def swapped(text: str, lang: str | None = None, swaps: int = SWAPS) -> list[tuple[str, str]]:
     """(sentence, the same with its identity term swapped) pairs, terms of the same language."""
-    out = []
+    lang, out = lang if lang in _LISTS else None, []
     for m in _SENTENCE.finditer(text):
         sentence = m.group()
-        for t in _TERM.finditer(sentence):
+        for t in _TERM[lang].finditer(sentence):
             own = t.group().lower()
-            terms = IDENTITY[_GROUPS[own]].split()
-            at = terms.index(own) if own in terms else 0
+            terms = _OWN[lang].get(own)
+            if not terms:  # a letter whose lower case is written otherwise
+                continue
+            at = terms.index(own)
             for k in range(1, swaps + 1):
                 out.append((sentence, sentence[: t.start()] + terms[(at + k * 5) % len(terms)] + sentence[t.end() :]))
     return out
@@ -93,7 +99,7 @@ def _sums(w: np.ndarray, slots: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return upto[bounds[1:]] - upto[bounds[:-1]]
 
 
-def fit(texts: list[str], toxic: np.ndarray, penalty: float = PENALTY, l2: float = L2, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+def fit(texts: list[str], toxic: np.ndarray, penalty: float = PENALTY, l2: float = L2, rounds: int = ROUNDS, langs: list | None = None) -> tuple[np.ndarray, float]:
     """(weights, bias) by full-batch Adam; the clean class weighs three times the toxic one."""
     def many(x: list[str], wanted=None):
         s, b = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
@@ -120,7 +126,7 @@ def fit(texts: list[str], toxic: np.ndarray, penalty: float = PENALTY, l2: float
     used = np.flatnonzero(wanted)
     place = np.cumsum(wanted) - 1
     x, bounds = many(texts, wanted)
-    pairs = [p for t in texts for p in swapped(t)]
+    pairs = [p for t, lang in zip(texts, langs or [None] * len(texts), strict=True) for p in swapped(t, lang)]
     (xa, ba), (xb, bb) = many([a for a, _ in pairs], wanted), many([b for _, b in pairs], wanted)
     x, xa, xb = place[x], place[xa], place[xb]
     weight = np.where(y > 0, 0.25 / max(n1, 1), 0.75 / max(n0, 1))
@@ -144,15 +150,20 @@ def fit(texts: list[str], toxic: np.ndarray, penalty: float = PENALTY, l2: float
     return dense, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY) -> tuple[np.ndarray, float] | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY, sample_chars: int = SAMPLE_CHARS) -> tuple[np.ndarray, float] | None:
+    lang = F.lower(F.substring_index("lang", "-", 1)) if "lang" in docs.columns else F.lit(None).cast("string")
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = [marks.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in ("toxic > 0", "toxic <= 0")]
     chosen = first[0].unionByName(first[1])
-    got = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic").toArrow()  # at most twice `sample` rows on the broadcast side
+    rows = docs.select("doc_id", "text", lang.alias("lang")).where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most twice `sample` rows on the broadcast side
+    one = F.struct(F.xxhash64("text").alias("h"), "text", "lang")  # of a doc_id that repeats, one row
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(one).alias("x")).select("doc_id", "toxic", "x.text", "x.lang")
+    upto = F.sum(F.length("text")).over(Window.partitionBy(F.col("toxic") > 0).orderBy(F.xxhash64("doc_id"), "doc_id"))  # of `sample` rows each
+    got = rows.withColumn("upto", upto).where(F.col("upto") <= sample_chars).orderBy("doc_id").select("text", "toxic", "lang").toArrow()
     y = np.array(got.column("toxic").to_pylist(), float)
     if not len(y) or y.min() == y.max():
         return None
-    return fit(got.column("text").to_pylist(), y, penalty)
+    return fit(got.column("text").to_pylist(), y, penalty, langs=got.column("lang").to_pylist())
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY, threshold: float = THRESHOLD) -> DataFrame:
