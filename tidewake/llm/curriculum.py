@@ -1,7 +1,9 @@
 """Mixing sources to target weights that change over training.
 
 A source's weight is a piecewise linear function of training time t in [0, 1]; weights
-add to 1 at each knot. Its integral times the token budget is what the source must have
+add to 1 at each knot. They are given as a table ``targets(source, t, weight)``, a row a
+source and knot (a pair without a row weighs 0, sources without text are left out and the
+others' weights scaled to add to 1), or follow from the sources' shares. Its integral times the token budget is what the source must have
 supplied by t. A document's tokens stand somewhere in its source's stream (documents in
 the order of md5(doc_id)), and the time at which demand reaches their middle is the
 document's training position; documents are range-sorted by it. A source that demands
@@ -11,7 +13,8 @@ is given); what exceeds its demand isn't used.
 Prefix sums are taken in two levels, over buckets of a source and inside a bucket, so a
 hot source is spread over BUCKETS tasks.
 
-Defined results: a null source is ``unknown``; tokens are runs of characters that aren't
+Defined results: a null source is ``unknown``; a source that ``targets`` doesn't name isn't
+used; a null doc_id is ordered by its text; tokens are runs of characters that aren't
 white space; a document without one has no share and is left out; repeated rows each
 take their own tokens; equal keys are interchangeable, since they have equal texts or
 are ordered by text length. Other columns are ignored by ``positions`` and carried by
@@ -27,6 +30,8 @@ from tidewake.runtime import cut, fresh
 
 #: Hex digits of md5 that make a bucket.
 BUCKET_DIGITS = 3
+#: Knots of a table of targets at most.
+MOST_KNOTS = 1_000
 #: Knots of time, and at each the exponent's blend of natural shares and their square roots.
 KNOTS = (0.0, 0.5, 1.0)
 FLATNESS = (0.0, 1.0, 1.0)
@@ -43,10 +48,33 @@ def schedule(supply: DataFrame, knots=KNOTS, flatness=FLATNESS) -> DataFrame:
     s = s.withColumn("r", F.sqrt("p")).withColumn("r", F.col("r") / F.sum("r").over(every))
     for i, f in enumerate(flatness):
         s = s.withColumn(f"w{i}", F.col("p") * (1.0 - f) + F.col("r") * f)
+    return _integrated(s.drop("p", "r"), knots)
+
+
+def _integrated(s: DataFrame, knots) -> DataFrame:
     s = s.withColumn("c0", F.lit(0.0))
     for i in range(1, len(knots)):
         s = s.withColumn(f"c{i}", F.col(f"c{i - 1}") + (F.col(f"w{i - 1}") + F.col(f"w{i}")) * ((knots[i] - knots[i - 1]) / 2.0))
-    return s.drop("p", "r")
+    return s
+
+
+def knots_of(targets: DataFrame) -> tuple[float, ...]:
+    """The distinct times of targets, which must hold 0 and 1 and MOST_KNOTS at most."""
+    times = [r[0] for r in targets.select(F.col("t").cast("double").alias("t")).where("t is not null").distinct().orderBy("t").limit(MOST_KNOTS + 1).collect()]
+    if len(times) > MOST_KNOTS or len(times) < 2 or times[0] != 0.0 or times[-1] != 1.0:
+        raise ValueError(f"targets need times from 0 to 1, and at most {MOST_KNOTS} of them")
+    return tuple(times)
+
+
+def schedule_from(supply: DataFrame, targets: DataFrame, knots) -> DataFrame:
+    """The like of ``schedule`` from given weights, scaled to add to 1 at each knot."""
+    at = [F.sum(F.when(F.col("t").cast("double") == k, F.greatest(F.col("weight").cast("double"), F.lit(0.0))).otherwise(0.0)).alias(f"w{i}") for i, k in enumerate(knots)]
+    given = targets.groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(*at)
+    every = Window.partitionBy(F.lit(0))  # a row a source
+    s = supply.withColumn("total", F.sum("supply").over(every)).join(given, "source")
+    for i in range(len(knots)):
+        s = s.withColumn(f"w{i}", F.coalesce(F.col(f"w{i}") / F.nullif(F.sum(f"w{i}").over(every), F.lit(0.0)), F.lit(0.0)))
+    return _integrated(s, knots)
 
 
 def _position(x, knots):
@@ -55,32 +83,39 @@ def _position(x, knots):
     for i in range(len(knots) - 1, 0, -1):
         w0, w1, c0, width = F.col(f"w{i - 1}"), F.col(f"w{i}"), F.col(f"c{i - 1}"), knots[i] - knots[i - 1]
         y = F.greatest(x - c0, F.lit(0.0))
-        u = 2.0 * y / (w0 + F.sqrt(w0 * w0 + (w1 - w0) * (2.0 / width) * y))
-        at = F.least(F.lit(knots[i - 1]) + u, F.lit(knots[i]))
+        u = 2.0 * y / F.nullif(w0 + F.sqrt(F.greatest(w0 * w0 + (w1 - w0) * (2.0 / width) * y, F.lit(0.0))), F.lit(0.0))
+        at = F.least(F.lit(knots[i - 1]) + F.coalesce(u, F.lit(0.0)), F.lit(knots[i]))
         out = at if out is None else F.when(x <= F.col(f"c{i}"), at).otherwise(out)
     return out
 
 
-def _placed(docs: DataFrame, keep: list[str], budget: int | None, knots, flatness, max_epochs: int | None) -> DataFrame:
-    source, n, key, bucket = fresh(docs, "tw_source", "tw_n", "tw_key", "tw_bucket")
+def _placed(docs: DataFrame, keep: list[str], budget: int | None, knots, flatness, max_epochs: int | None, targets: DataFrame | None) -> DataFrame:
+    source, n, key, bucket = "tw_source", "tw_n", "tw_key", "tw_bucket"  # names in keep are of the callers here
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))
     df = docs.select(
         *keep, F.coalesce("source", F.lit("unknown")).alias(source), F.regexp_count("text", F.lit(r"\S+")).cast("long").alias(n),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias(key), F.length("text").alias("tw_len"),
+        digest.alias(key), F.length("text").alias("tw_len"),
     ).where(F.col(n) > 0)
     df = df.withColumn(bucket, F.substring(key, 1, BUCKET_DIGITS))
     narrow = docs.select(
-        F.coalesce("source", F.lit("unknown")).alias("source"), F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, BUCKET_DIGITS).alias("bucket"),
+        F.coalesce("source", F.lit("unknown")).alias("source"), F.substring(digest, 1, BUCKET_DIGITS).alias("bucket"),
         F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("n"),
     ).where("n > 0")
     sums = cut(narrow.groupBy("source", "bucket").agg(F.sum("n").alias("n")))
-    plan = schedule(sums.groupBy("source").agg(F.sum("n").alias("supply")), knots, flatness)
+    supply = sums.groupBy("source").agg(F.sum("n").alias("supply"))
+    if targets is None:
+        plan = schedule(supply, knots, flatness)
+    else:
+        knots = knots_of(targets)
+        plan = schedule_from(supply, targets, knots)
     if budget:
         plan = plan.withColumn("total", F.lit(budget).cast("long"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n").join(plan, "source").withColumnRenamed("source", "tw_s").withColumnRenamed("bucket", "tw_b")
     within = Window.partitionBy(source, bucket).orderBy(key, "tw_len", n).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     df = df.withColumn("tw_upto", F.sum(n).over(within))
-    df = df.join(F.broadcast(cut(sums)), (F.col(source) == F.col("tw_s")) & (F.col(bucket) == F.col("tw_b")))
+    # rows are at their (source, bucket) already, for the prefix sums: only these few are moved
+    df = df.join(cut(sums).hint("shuffle_hash"), (F.col(source) == F.col("tw_s")) & (F.col(bucket) == F.col("tw_b")))
     last = len(knots) - 1
     uses = F.greatest(F.lit(1), F.ceil(F.col(f"c{last}") * F.col("total") / F.col("supply")).cast("int"))
     uses = uses if max_epochs is None else F.least(uses, F.lit(max_epochs))
@@ -89,18 +124,18 @@ def _placed(docs: DataFrame, keep: list[str], budget: int | None, knots, flatnes
     return df.withColumn("tw_x", x).where(F.col("tw_x") <= F.col(f"c{last}")).withColumn("tw_position", _position(F.col("tw_x"), knots)).withColumnRenamed(source, "tw_source_").withColumnRenamed(n, "tw_n_")
 
 
-def positions(docs: DataFrame, budget: int | None = None, knots=KNOTS, flatness=FLATNESS, max_epochs: int | None = None) -> DataFrame:
+def positions(docs: DataFrame, budget: int | None = None, knots=KNOTS, flatness=FLATNESS, max_epochs: int | None = None, targets: DataFrame | None = None) -> DataFrame:
     """(doc_id, source, n_tokens, epoch, position), a row for each use of a document, in training order."""
-    d = _placed(docs, ["doc_id"], budget, knots, flatness, max_epochs)
+    d = _placed(docs, ["doc_id"], budget, knots, flatness, max_epochs, targets)
     out = d.select("doc_id", F.col("tw_source_").alias("source"), F.col("tw_n_").alias("n_tokens"), F.col("tw_epoch").alias("epoch"), F.round("tw_position", 6).alias("position"))
     return out.orderBy("position", "doc_id")
 
 
-def mixed(docs: DataFrame, budget: int | None = None, knots=KNOTS, flatness=FLATNESS, max_epochs: int | None = None) -> DataFrame:
+def mixed(docs: DataFrame, budget: int | None = None, knots=KNOTS, flatness=FLATNESS, max_epochs: int | None = None, targets: DataFrame | None = None) -> DataFrame:
     """The rows of docs in training order, each as often as it is used."""
-    names = [f"tw_c{i}" for i in range(len(docs.columns))]
+    names = fresh(docs, *[f"tw_column_{i}" for i in range(len(docs.columns))])
     d = docs.select("*", *[F.col(f"`{c}`").alias(t) for c, t in zip(docs.columns, names, strict=True)])
-    out = _placed(d, names, budget, knots, flatness, max_epochs).select(*names, "tw_position").orderBy("tw_position").drop("tw_position")
+    out = _placed(d, names, budget, knots, flatness, max_epochs, targets).select(*names, "tw_position").orderBy("tw_position").drop("tw_position")
     return out.toDF(*docs.columns)
 
 
