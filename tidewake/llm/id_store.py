@@ -11,14 +11,19 @@ a chunk that is missing. The texts themselves aren't in the store to be held aga
 
 One shuffle by key takes chunks, recipes and manifest leaves to where they are merged.
 
-Rows of the store (kind, key, doc_id, n_ids, payload, refs, root):
+Rows of the store (kind, key, doc_id, position, n_ids, payload, refs, root):
 chunk: payload has the ids, little-endian uint16 (uint32 if the vocabulary needs it).
-recipe: refs has the chunks' keys end to end, n_ids the ids of the document.
-manifest: payload has the doc_ids (8 bytes each), refs the roots, n_ids the documents.
+recipe: refs has the chunks' keys end to end, n_ids the ids of the document, position its
+place in training order, if ``store`` is told the column that has it.
+manifest: payload has the doc_ids, refs the roots, n_ids the documents.
+
+doc_ids that aren't integers are strings here: their manifests are by a hash, as many as
+hold about SHARD_DOCS each, and payload has each one's length (4 bytes) before it; of an
+integer it has 8 bytes.
 
 Defined results: null and empty texts have a recipe without chunks, whose root is the
-hash of nothing; repeated rows keep a recipe each and share chunks; a null doc_id is in
-the manifest of nulls; other columns are ignored.
+hash of nothing; repeated rows keep a recipe each and share chunks; null doc_ids are in
+manifests of nulls, by the beginning of the root; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,9 +46,8 @@ WINDOW = 16
 CUT_BITS = 8
 LEAST, MOST = 64, 1024
 SHARD_DOCS = 4096
-_NAMES = ["kind", "key", "doc_id", "n_ids", "payload", "refs", "root"]
-SCHEMA = "kind string, key binary, doc_id long, n_ids long, payload binary, refs binary, root binary"
-_TYPES = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+_NAMES = ["kind", "key", "doc_id", "position", "n_ids", "payload", "refs", "root"]
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 _EMPTY = hashlib.sha256(b"").digest()
 
 
@@ -84,15 +88,43 @@ def cuts(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
     return out
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
+def _schema(doc: str) -> str:
+    return f"kind string, key binary, doc_id {doc}, position long, n_ids long, payload binary, refs binary, root binary"
+
+
+def _batch(rows: list[tuple], doc: pa.DataType) -> pa.RecordBatch:
+    types = [pa.string(), pa.binary(), doc, pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_NAMES)
+
 
+def _shard(doc, root: bytes, bits: int) -> bytes:
+    if doc is None:
+        return b"null" + root[:2]
+    if isinstance(doc, str):
+        return b"hash" + (int.from_bytes(hashlib.sha256(doc.encode("utf-8", "surrogatepass")).digest()[:8], "big") >> (64 - bits)).to_bytes(8, "big")
+    return (doc // SHARD_DOCS).to_bytes(8, "big", signed=True)
 
-def _shard(doc) -> bytes:
-    return b"null" if doc is None else (doc // SHARD_DOCS).to_bytes(8, "big", signed=True)
+
+def _packed(docs: list) -> bytes:
+    each = [(d or "").encode("utf-8", "surrogatepass") if d is None or isinstance(d, str) else d for d in docs]
+    return b"".join(d.to_bytes(8, "big", signed=True) if isinstance(d, int) else len(d).to_bytes(4, "big") + d for d in each)
+
+
+def _unpacked(key: bytes, data: bytes) -> list | None:
+    """The doc_ids of a manifest; None if its bytes don't read as such."""
+    if len(key) == 8:
+        return [int.from_bytes(data[i : i + 8], "big", signed=True) for i in range(0, len(data), 8)] if len(data) % 8 == 0 else None
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + n > len(data):
+            return None
+        out.append(None if key.startswith(b"null") else data[at + 4 : at + 4 + n].decode("utf-8", "surrogatepass"))
+        at += 4 + n
+    return out
 
 
-def _emit(path: str):
+def _emit(path: str, bits: int, doc_type: pa.DataType):
     def run(batches):
         encoder, seen = Encoder(path), set()
         small = len(encoder.ranks) <= 1 << 16
@@ -101,7 +133,7 @@ def _emit(path: str):
             ends = cuts(ids, bounds)
             raw = memoryview((ids.astype("<u2") if small else ids.astype("<u4")).tobytes())
             width, rows = 2 if small else 4, []
-            for doc, at, mine in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), ends, strict=True):
+            for doc, place, at, mine in zip(part.column("doc_id").to_pylist(), part.column("position").to_pylist(), bounds[:-1].tolist(), ends, strict=True):
                 keys, first = [], at
                 for e in mine:
                     data = raw[at * width : e * width]
@@ -109,20 +141,20 @@ def _emit(path: str):
                     keys.append(key)
                     if key not in seen:
                         seen.add(key)
-                        rows.append(("chunk", key, None, e - at, data, None, None))
+                        rows.append(("chunk", key, None, None, e - at, data, None, None))
                     at = e
                 if len(seen) > 500_000:
                     seen.clear()
                 root = merkle_root(keys)
-                rows.append(("recipe", root, doc, at - first, None, b"".join(keys), root))
-                rows.append(("manifest", _shard(doc), doc, 1, None, None, root))
+                rows.append(("recipe", root, doc, place, at - first, None, b"".join(keys), root))
+                rows.append(("manifest", _shard(doc, root, bits), doc, None, 1, None, None, root))
             if rows:
-                yield _batch(rows)
+                yield _batch(rows, doc_type)
 
     return run
 
 
-def _merge(batches):
+def _merge(batches, doc_type: pa.DataType):
     seen, shards = set(), defaultdict(list)
     for b in batches:
         kinds, keys = b.column("kind").to_pylist(), b.column("key").to_pylist()
@@ -139,17 +171,21 @@ def _merge(batches):
         if keep:
             yield b.take(pa.array(keep))
     for key, leaves in shards.items():
-        leaves.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        leaves.sort(key=lambda x: (x[0] is not None, x[0], x[1]) if x[0] is not None else (False, x[1]))
         roots = [r for _, r in leaves]
-        ids = b"".join((d if d is not None else -1).to_bytes(8, "big", signed=True) for d, _ in leaves)
-        yield _batch([("manifest", key, None, len(leaves), ids, b"".join(roots), merkle_root(roots))])
+        yield _batch([("manifest", key, None, None, len(leaves), _packed([d for d, _ in leaves]), b"".join(roots), merkle_root(roots))], doc_type)
 
 
-def store(docs: DataFrame, ranks: str | None = None) -> DataFrame:
-    """The store's rows for docs(doc_id, text)."""
-    path = ranks or default_ranks()
-    rows = arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _emit(path), SCHEMA)
-    return arrow(rows.repartition("key"), _merge, SCHEMA)
+def store(docs: DataFrame, ranks: str | None = None, position: str | None = None) -> DataFrame:
+    """The store's rows for docs(doc_id, text, and a column of positions, if one is named)."""
+    path, whole = ranks or default_ranks(), docs.schema["doc_id"].dataType.simpleString() in _WHOLE
+    doc, doc_type = ("long", pa.int64()) if whole else ("string", pa.string())
+    bits = 0 if whole else max(0, (docs.count() // SHARD_DOCS).bit_length())
+    place = F.col(position).cast("long") if position else F.lit(None).cast("long")
+    rows = arrow(docs.select(F.col("doc_id").cast(doc).alias("doc_id"), place.alias("position"), "text"), _emit(path, bits, doc_type), _schema(doc))
+    # recipes needn't meet others of their key, which the copies of a text share
+    where = F.when(F.col("kind") == "recipe", F.xxhash64("key", "doc_id", "position")).otherwise(F.xxhash64("key"))
+    return arrow(rows.repartition(where), lambda batches: _merge(batches, doc_type), _schema(doc))
 
 
 def streams(rows: DataFrame) -> DataFrame:
@@ -161,14 +197,13 @@ def streams(rows: DataFrame) -> DataFrame:
     return parts.select("doc_id", "root", F.expr("aggregate(parts, cast('' as binary), (s, p) -> concat(s, coalesce(p.payload, case when p.pos is null then cast('' as binary) else cast(raise_error('a chunk of the recipe is missing') as binary) end)))").alias("ids"))
 
 
-def _leaves(batches):
+def _leaves(batches, doc_type: pa.DataType):
     """The (doc_id, root) that manifests hold."""
     for b in batches:
         for key, ids, roots in zip(b.column("key").to_pylist(), b.column("payload").to_pylist(), b.column("refs").to_pylist(), strict=True):
-            ids, roots = ids or b"", roots or b""
-            docs = [None if key == b"null" else int.from_bytes(ids[i : i + 8], "big", signed=True) for i in range(0, len(ids), 8)]
+            docs, roots = _unpacked(key, ids or b"") or [], roots or b""
             n = min(len(docs), len(roots) // 32)  # verify tells of other lengths
-            yield pa.RecordBatch.from_arrays([pa.array(docs[:n], pa.int64()), pa.array([roots[i * 32 : i * 32 + 32] for i in range(n)], pa.binary())], names=["doc_id", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs[:n], doc_type), pa.array([roots[i * 32 : i * 32 + 32] for i in range(n)], pa.binary())], names=["doc_id", "root"])
 
 
 def verify(rows: DataFrame) -> DataFrame:
@@ -188,10 +223,12 @@ def verify(rows: DataFrame) -> DataFrame:
                     continue
                 if merkle_root(refs) != r["root"] or kind == "recipe" and r["key"] != r["root"]:
                     bad.append((kind, r["key"], "parts differ from the root"))
-                if kind == "manifest" and not len(refs) == r["n_ids"] == size / 8:
-                    bad.append((kind, r["key"], "parts differ from n_ids"))
-                if kind == "manifest" and any(_shard(None if r["key"] == b"null" else int.from_bytes(r["payload"][i : i + 8], "big", signed=True)) != r["key"] for i in range(0, size, 8)):
-                    bad.append((kind, r["key"], "a doc_id of another shard"))
+                if kind == "manifest":
+                    ids = _unpacked(r["key"], r["payload"] or b"")
+                    if ids is None or not len(refs) == r["n_ids"] == len(ids):
+                        bad.append((kind, r["key"], "parts differ from n_ids"))
+                    elif any(_shard(i, x, 64) != r["key"] for i, x in zip(ids, refs, strict=True) if not isinstance(i, str)):
+                        bad.append((kind, r["key"], "a doc_id of another shard"))
             if bad:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*bad, strict=True), (pa.string(), pa.binary(), pa.string()), strict=True)], names=["kind", "key", "problem"])
 
@@ -203,7 +240,8 @@ def verify(rows: DataFrame) -> DataFrame:
     found = asked.join(chunks, "ref", "left")
     sums = found.groupBy("root", "n_ids").agg(F.sum(F.when(F.col("ref").isNotNull() & F.col("has").isNull(), 1).otherwise(0)).alias("lost"), F.coalesce(F.sum("has"), F.lit(0)).alias("has"))
     said = lambda df, kind, key, problem: df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.lit(problem).alias("problem"))
-    leaves = arrow(rows.where("kind = 'manifest'").select("key", "payload", "refs"), _leaves, "doc_id long, root binary")
+    doc = rows.schema["doc_id"].dataType.simpleString()
+    leaves = arrow(rows.where("kind = 'manifest'").select("key", "payload", "refs"), lambda batches: _leaves(batches, pa.string() if doc == "string" else pa.int64()), f"doc_id {doc}, root binary")
     both = leaves.select("doc_id", "root", F.lit(1).alias("leaf")).unionByName(recipes.select("doc_id", "root", F.lit(-1).alias("leaf")))
     uneven = both.groupBy("doc_id", "root").agg(F.sum("leaf").alias("more")).where("more <> 0")
     out = wrong.unionByName(said(sums.where("lost > 0"), "recipe", "root", "a chunk is missing"))
