@@ -6,14 +6,16 @@ words with a capital in the middle of a sentence, a unit is a known unit word ri
 a number. Windows of WINDOW template tokens with LITERALS other tokens at least are
 hash-joined; an item of fewer tokens is one window by itself, if it has SHORT_LITERALS
 literal tokens. Windows that match on one alignment of item and document must fill the
-item's slots consistently: one name of the item is one name in the document throughout.
+item's slots consistently: one name, number or unit of the item is one of the document
+throughout.
 A window's first token, if it has a capital, is a name or a literal: it stands for both.
 
 Windows of WINDOW case-folded words (or of a short item's) are joined alike, numbers as
 they are, so that a verbatim copy is found in any capitals and at any place.
 
 The benchmark's windows are broadcast up to ``max_windows``; a larger benchmark is
-taken in parts, one scan of the documents for each. Documents are never shuffled.
+taken in parts, one scan of the documents for each, and one part at a time is held by the
+driver and the executors. Documents are never shuffled.
 
 Defined results: null or empty texts, and items with too few literal tokens, match
 nothing; repeated rows each get their own result rows; items that share a window each
@@ -24,6 +26,7 @@ carried by ``drop_leaks``.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import cache, reduce
 
 import numpy as np
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.runtime import arrow
+from tidewake.runtime import arrow, cut
 
 from . import kernels as K
 
@@ -210,7 +213,7 @@ class Index:
                         continue
                     x, y = own.slot(b), its.slot(b + shift)
                     same &= x == y
-                    if (here == _NAME or here >> np.uint64(63)) and names.setdefault(x, y) != y:
+                    if names.setdefault((here if here in (_NUM, _UNIT) else _NAME, x), y) != y:
                         ok = False
                         break
                 if ok:
@@ -220,16 +223,19 @@ class Index:
         return best
 
 
-def _indexes(benchmark: DataFrame, window: int, literals: int, short: int, max_windows: int) -> list[Index]:
+def _indexes(benchmark: DataFrame, window: int, literals: int, short: int, max_windows: int) -> tuple[int, Iterator[Index]]:
+    """(number of parts, the parts' indexes, made one by one)."""
     items = benchmark.where("text is not null").select("item_id", "text")
     words = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-words // (3 * max_windows)))
-    out = []
-    for p in range(parts):
-        part = items if parts == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p)
-        got = part.toArrow()
-        out.append(Index(got.column("item_id").to_pylist(), got.column("text").to_pylist(), window, literals, short))
-    return out
+
+    def each():
+        for p in range(parts):
+            part = items if parts == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p)
+            got = part.toArrow()
+            yield Index(got.column("item_id").to_pylist(), got.column("text").to_pylist(), window, literals, short)
+
+    return parts, each()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, short: int = SHORT_LITERALS, max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -258,11 +264,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals:
 
         return run
 
-    sc = docs.sparkSession.sparkContext
-    found = [
-        arrow(docs.select("doc_id", "text"), scan(sc.broadcast(i)), f"doc_id {types[0]}, item_id {types[1]}, windows long, covered double, kind string, first_token long")
-        for i in _indexes(benchmark, window, literals, short, max_windows)
-    ]
+    sc, found = docs.sparkSession.sparkContext, []
+    parts, indexes = _indexes(benchmark, window, literals, short, max_windows)
+    for index in indexes:
+        sent = sc.broadcast(index)
+        del index
+        part = arrow(docs.select("doc_id", "text"), scan(sent), f"doc_id {types[0]}, item_id {types[1]}, windows long, covered double, kind string, first_token long")
+        if parts > 1:  # a row a leak
+            part = cut(part)
+            sent.destroy()
+        found.append(part)
     return reduce(DataFrame.unionByName, found)
 
 
@@ -287,6 +298,12 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lite
 
         return run
 
-    for i in _indexes(benchmark, window, literals, short, max_windows):
-        docs = arrow(docs, clean(sc.broadcast(i)), docs.schema)
+    parts, indexes = _indexes(benchmark, window, literals, short, max_windows)
+    for index in indexes:
+        if parts == 1:
+            return arrow(docs, clean(sc.broadcast(index)), docs.schema)
+        sent = sc.broadcast(index)
+        del index
+        docs = cut(arrow(docs, clean(sent), docs.schema))
+        sent.destroy()
     return docs
