@@ -5,12 +5,15 @@ it has one word). Texts whose fingerprints differ in at most ``radius`` bits are
 duplicates; groups are the connected components, and the least doc_id of a group stays.
 
 Each repetition draws disjoint random coordinate strips. On a strip, random centres
-filter the list: a fingerprint passes a centre if their partial distance on the strip is
-at most CUT bits, and lists shrink by the same factor at each level, until they hold
-about ``leaf`` fingerprints; those are searched by brute force. The first levels have no
-dependence on each other's results, so their keys are made in one map and one shuffle.
+filter a list: a fingerprint passes a centre if their partial distance on the strip is
+at most CUT bits. A list of at most ``leaf`` fingerprints is searched by brute force; one
+that holds more recurses on the next strip. What is still larger when the strips are used
+up (a hot list of fingerprints that pass and fail together) is searched whole as well, in
+blocks of ``leaf`` whose pairs are tasks of their own. A table of at most ``leaf``
+fingerprints is one such list from the start, searched once.
 Repetitions follow from the strip's exact survival probability for two fingerprints at
-``radius`` and from ``recall``. A list's fingerprints that are known to be in one component
+``radius`` and from ``recall``, at the depth that lists of even size would take; a list
+that ends earlier loses less. A list's fingerprints that are known to be in one component
 are not compared again, so a list of thousands of near copies takes linear time.
 
 Defined results: equal fingerprints (copies among them) are one node, whatever their
@@ -145,32 +148,68 @@ def _centres(repetition: int, level: int, n: int) -> np.ndarray:
     return np.random.default_rng([11, repetition, level]).integers(0, 1 << 64, (n, LANES), dtype=np.uint64)
 
 
-def _list_rows(levels: int, centres: int, repetitions: int):
+_LIST = f"rep int, list long, fid long, {', '.join(f'{w} long' for w in _WORDS)}"
+
+
+def _filtered(level: int, centres: int, repetitions: int):
+    """Rows of lists, filtered by the centres of a level's strip; at level 0 each row begins all repetitions."""
+
     def lists(batches):
         for b in batches:
             fp = np.stack([np.asarray(b.column(w)).view(np.uint64) for w in _WORDS], axis=1)
             fid = np.asarray(b.column("fid"))
+            rep = np.asarray(b.column("rep")) if level else None
+            lst = np.asarray(b.column("list")).view(np.uint64) if level else None
             for a in range(0, len(fid), 8192):
-                block = fp[a : a + 8192]
-                for r in range(repetitions):
-                    rows, key = np.arange(len(block)), np.full(len(block), r, np.uint64)
-                    masks = _strips(r)
-                    for level in range(levels):
-                        z = _centres(r, level, centres)
-                        at, to = [], []
-                        masked = block & masks[level]
-                        for c in range(centres):
-                            near = np.bitwise_count(masked ^ (z[c] & masks[level])).sum(axis=1, dtype=np.uint8) <= CUT
-                            hit = np.flatnonzero(near[rows])
-                            at.append(rows[hit])
-                            to.append(K.mix64(key[hit] * np.uint64(centres) + np.uint64(c)))
-                        rows, key = np.concatenate(at), np.concatenate(to)
+                for r in range(repetitions) if not level else np.unique(rep[a : a + 8192]).tolist():
+                    mine = np.arange(a, min(a + 8192, len(fid)))
+                    if level:
+                        mine = mine[rep[mine] == r]
+                    block = fp[mine]
+                    key = lst[mine] if level else np.full(len(mine), r, np.uint64)
+                    mask, z = _strips(r)[level], _centres(r, level, centres)
+                    at, to, masked = [], [], block & mask
+                    for c in range(centres):
+                        hit = np.flatnonzero(np.bitwise_count(masked ^ (z[c] & mask)).sum(axis=1, dtype=np.uint8) <= CUT)
+                        at.append(hit)
+                        to.append(K.mix64(key[hit] * np.uint64(centres) + np.uint64(c)))
+                    rows, key = np.concatenate(at), np.concatenate(to)
                     out = block[rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fid[a : a + 8192][rows]), *[pa.array(out[:, i].view(np.int64)) for i in range(LANES)]], names=["list", "fid", *_WORDS])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(rows), r, np.int32)), pa.array(key.view(np.int64)), pa.array(fid[mine][rows]), *[pa.array(out[:, i].view(np.int64)) for i in range(LANES)]],
+                        names=["rep", "list", "fid", *_WORDS],
+                    )
 
     return lists
 
 
+def _leaf_lists(nodes: DataFrame, n: int, radius: int, recall: float, leaf: int) -> DataFrame:
+    """(list, fid, words): the lists to be searched by brute force, of about ``leaf`` rows at most."""
+    levels, centres, repetitions = _plan(n, radius, recall, leaf)
+    rows = nodes.select(F.lit(0).alias("rep"), F.lit(0).cast("long").alias("list"), "fid", *_WORDS)
+    if not levels:
+        return rows.drop("rep")
+    done = None
+    for level in range(levels):
+        rows = cut(arrow(rows, _filtered(level, centres, repetitions), _LIST))
+        sizes = rows.groupBy("list").count().where(F.col("count") > leaf).select(F.col("list").alias("of"), F.col("count").alias("size"))
+        sizes = cut(sizes)  # a row a list that is too long
+        if sizes.isEmpty():
+            return rows.drop("rep") if done is None else done.unionByName(rows.drop("rep"))
+        big = small(sizes)
+        ended = rows.join(big, rows["list"] == big["of"], "left_anti").drop("rep")
+        done = ended if done is None else done.unionByName(ended)
+        rows = rows.join(big, rows["list"] == big["of"]).select("rep", "list", "fid", *_WORDS, "size")
+        if level < levels - 1:
+            rows = rows.drop("size")
+    # all pairs of blocks: a row is in as many pairs as its list has blocks
+    blocks = F.ceil(F.col("size") / F.lit(leaf // 2)).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("list", F.least("own", "other"), F.greatest("own", "other"))
+    return done.unionByName(rows.select(pair.alias("list"), "fid", *_WORDS))
+
+
 def close_edges(fp: np.ndarray, radius: int, block: int = 96) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that connect each component of the graph of pairs within radius.
 
@@ -260,8 +299,7 @@ def _components(docs: DataFrame, radius: int, recall: float, leaf: int) -> DataF
     rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()))
     nodes = cut(rows.where(F.col(_WORDS[0]).isNotNull()).select(*_WORDS).distinct().withColumn("fid", F.monotonically_increasing_id()))
     n = nodes.count()
-    levels, centres, repetitions = _plan(n, radius, recall, leaf)
-    lists = arrow(nodes, _list_rows(levels, centres, repetitions), f"list long, fid long, {', '.join(f'{w} long' for w in _WORDS)}")
+    lists = _leaf_lists(nodes, n, radius, recall, leaf)
     edges = lists.groupBy("list").applyInArrow(_search(radius), "src long, dst long").distinct()
     labels = min_label_components(cut(edges))  # (id, label) of nodes with an edge
     labelled = nodes.join(labels, nodes["fid"] == labels["id"], "left").select(*_WORDS, F.coalesce("label", "fid").alias("node"))
