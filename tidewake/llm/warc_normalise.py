@@ -32,8 +32,6 @@ from tidewake.runtime import arrow, cut, scratch
 
 LEVEL = 6
 STEP = 1 << 20
-#: Bytes of a record's header at most.
-MOST_HEADER = 1 << 20
 SCHEMA = "archive string, record_no long, record_type string, record_id string, target_uri string, offset long, length long, inflated long, sha256 string, problem string"
 _TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -82,8 +80,8 @@ def rewrite(source, sink, archive: str, level: int = LEVEL):
                     return
                 row = (_header(head, b"WARC-Type"), _header(head, b"WARC-Record-ID"), _header(head, b"WARC-Target-URI"))
                 record = [row, zlib.compressobj(level, zlib.DEFLATED, 31), len(head) + int(size) + 4, hashlib.sha256(), offset, 0, len(head)]
-            elif len(buffer) > MOST_HEADER:
-                yield (archive, number, None, None, None, offset, 0, len(buffer), None, "no end of a header")
+            elif len(buffer) >= 5 and not buffer.startswith(b"WARC/"):  # nothing tells where the next record is
+                yield (archive, number, None, None, None, offset, 0, len(buffer), None, "no WARC header with a Content-Length")
                 return
         if record is not None and (buffer or record[2] == 0):
             part, buffer = buffer[: record[2]], buffer[record[2] :]
