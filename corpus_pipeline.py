@@ -1,15 +1,19 @@
 """Corpus pipeline: documents to a store of token ids, by way of four decisions.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again
-as the next one's docs. All but the last return the columns of documents.
+as the next one's docs. All but the last return the columns of documents. Mixing writes
+its rows range-sorted, part by part; the store's recipes keep that order as positions.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewake.llm import curriculum, decontaminate, id_store, quality_lm, simhash_dedup
-from tidewake.runtime import scratch
+from tidewake.runtime import fresh, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +37,18 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return id_store.store(docs)
+    return id_store.store(*_in_order(docs))
+
+
+def _in_order(docs: DataFrame) -> tuple[DataFrame, None, str | None]:
+    """docs with the place of each row in the written files, if it comes from files of parts."""
+    files = docs.inputFiles()
+    if not files or not all(re.search(r"part-\d+", f) for f in files):
+        return docs, None, None
+    (place,) = fresh(docs, "place")
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+    file = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"-c(\d+)\.", 1).try_cast("long"), F.lit(0).cast("long"))
+    return docs.withColumn(place, part * 2**40 + file * 2**32 + F.col("_metadata.row_index")), None, place
 
 
 STAGES = [
