@@ -7,8 +7,7 @@ its rows range-sorted, part by part; the store's recipes keep that order as posi
 
 from __future__ import annotations
 
-import re
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +40,13 @@ def token_store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _in_order(docs: DataFrame) -> tuple[DataFrame, None, str | None]:
-    """docs with the place of each row in the written files, if it comes from files of parts."""
-    files = docs.inputFiles()
-    if not files or not all(re.search(r"part-\d+", f) for f in files):
+    """docs with the place of each row in the files of parts that it was written to, if it comes from files."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index").schema
+    except AnalysisException:
         return docs, None, None
     (place,) = fresh(docs, "place")
-    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).try_cast("long")
     file = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"-c(\d+)\.", 1).try_cast("long"), F.lit(0).cast("long"))
     return docs.withColumn(place, part * 2**40 + file * 2**32 + F.col("_metadata.row_index")), None, place
 
