@@ -26,12 +26,12 @@ def test_components_over_all_foreign_keys(spark):
             parent[root(f"{p}:{x}")] = root(f"{q}:{y}")
     sizes = Counter(root(x) for x in list(parent))
     least = {r: min(x for x in parent if root(x) == r) for r in sizes}
-    got = {r.component: r.n for r in catalog.QUERIES["weak_components_all"](spark, D).collect()}
+    got = {r.component: r.n for r in catalog.QUERIES["weak_components"](spark, D).collect()}
     assert got == {least[r]: n for r, n in sizes.items()}
     assert any(x[0] == "p" for x in parent)
 
 
 def test_snapshots_hold_every_key(spark):
     ids = lambda name, c: set(pq.read_table(f"{D}/{name}.parquet", columns=[c]).column(c).to_pylist())
-    got = {r.id for r in catalog.QUERIES["snapshot_diff_tables"](spark, D).collect()}
+    got = {r.id for r in catalog.QUERIES["snapshot_diff"](spark, D).collect()}
     assert got >= ids("customer", "c_custkey") ^ ids("supplier", "s_suppkey")

@@ -15,23 +15,44 @@ def normalise(scores: DataFrame) -> DataFrame:
     return scores.select("query_id", "id", F.when(high == low, 0.5).otherwise((F.col("score") - low) / F.nullif(high - low, F.lit(0.0))).alias("score"))
 
 
-def adaptive_weights(graph: DataFrame, weights=WEIGHTS) -> DataFrame:
-    """(query_id, wg, wb, wf): few graph candidates move graph weight to the lexical one."""
-    c = F.least(F.lit(1.0), F.count("*") / F.lit(float(FULL_CONFIDENCE)))
-    g, b, f = weights
-    return graph.groupBy("query_id").agg(c.alias("c")).select("query_id", (g * F.col("c")).alias("wg"), (F.lit(b) + g * (1 - F.col("c"))).alias("wb"), F.lit(f).alias("wf"))
-
+def adaptive_weights(graph: DataFrame, weights=WEIGHTS, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, wg, wb, wf): few graph candidates move graph weight to the lexical one.
 
-def hybrid(graph: DataFrame, lexical: DataFrame, same_file: DataFrame, weights: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score), 100 times the weighted sum; history is added without renormalising."""
+    queries(query_id), if given, have a row each, also where the graph has no candidate.
+    """
+    g, b, f = weights
+    n = graph.groupBy("query_id").agg(F.count("*").alias("n"))
+    if queries is not None:
+        n = queries.select("query_id").distinct().join(n, "query_id", "left")
+    c = F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / F.lit(float(FULL_CONFIDENCE)))
+    return n.withColumn("c", c).select("query_id", (g * F.col("c")).alias("wg"), (F.lit(b) + g * (1 - F.col("c"))).alias("wb"), F.lit(f).alias("wf"))
+
+
+def hybrid(graph: DataFrame, lexical: DataFrame, same_file: DataFrame, weights: DataFrame | None = None, history: DataFrame | None = None, changed: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score), 100 times the weighted sum; history is added without renormalising.
+
+    Without weights they are adaptive, over every query of a signal; a query that weights
+    don't name has no graph candidate. changed(query_id, id) take no part and keep their
+    graph score; a query without any keeps its graph scores as they are.
+    """
+    untouched = None
+    if changed is not None:
+        keys, known = changed.select("query_id", "id").distinct(), changed.select("query_id").distinct()
+        rest = graph.select("query_id", "id", "score").join(known, "query_id", "left_anti")
+        untouched = graph.select("query_id", "id", "score").join(keys, ["query_id", "id"], "left_semi").unionByName(rest)
+        graph, lexical, same_file, history = (s if s is None else s.join(known, "query_id", "left_semi").join(keys, ["query_id", "id"], "left_anti") for s in (graph, lexical, same_file, history))
+    if weights is None:
+        weights = adaptive_weights(graph)
     signals = [(normalise(graph), "wg"), (normalise(lexical), "wb"), (same_file.select("query_id", "id", F.lit(1.0).alias("score")), "wf")]
+    alone = {"wg": 0.0, "wb": WEIGHTS[0] + WEIGHTS[1], "wf": WEIGHTS[2]}
     rows = None
     for s, name in signals:
-        part = s.join(weights, "query_id").select("query_id", "id", (F.col(name) * F.col("score")).alias("part"))
+        part = s.join(weights, "query_id", "left").select("query_id", "id", (F.coalesce(name, F.lit(alone[name])) * F.col("score")).alias("part"))
         rows = part if rows is None else rows.unionByName(part)
     if history is not None:
         rows = rows.unionByName(history.select("query_id", "id", (HISTORY_WEIGHT * F.col("score")).alias("part")))
-    return rows.groupBy("query_id", "id").agg((100 * F.sum("part")).alias("score"))
+    out = rows.groupBy("query_id", "id").agg((100 * F.sum("part")).alias("score"))
+    return out if untouched is None else out.unionByName(untouched)
 
 
 def ranked(scores: DataFrame) -> DataFrame:

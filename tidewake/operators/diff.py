@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Lines of a bin of an interval join.
+BIN_LINES = 256
+
 
 def compare_states(old: DataFrame, new: DataFrame, broken: DataFrame | None = None) -> DataFrame:
     """(id, status) of symbols(id, code, file): added, modified, deleted; gone from a broken file is modified."""
@@ -18,9 +21,16 @@ def compare_states(old: DataFrame, new: DataFrame, broken: DataFrame | None = No
     return both.select("id", status.alias("status")).where("status is not null")
 
 
-def touched_symbols(symbols: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Symbols(file, id, start, end) that a hunk(file, hstart, hend) overlaps."""
-    return symbols.join(hunks, "file").where("hstart <= end and hend >= start").select("id").distinct()
+def touched_symbols(symbols: DataFrame, hunks: DataFrame, bin_lines: int = BIN_LINES) -> DataFrame:
+    """Symbols(file, id, start, end) that a hunk(file, hstart, hend) overlaps.
+
+    Both sides are cut into bins of bin_lines, which are joined with the file, so that a
+    long file is spread and a symbol meets the hunks of its own bins only.
+    """
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_lines), F.floor(F.greatest(a, b) / bin_lines)))
+    s = symbols.select("file", "id", "start", "end").withColumn("bin", bins("start", "end"))
+    h = hunks.select("file", "hstart", "hend").distinct().withColumn("bin", bins("hstart", "hend"))
+    return s.join(h, ["file", "bin"]).where("hstart <= end and hend >= start").select("id").distinct()
 
 
 def cochange_cases(commit_symbols: DataFrame) -> DataFrame:

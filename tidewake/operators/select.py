@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewake.runtime import in_order
+
 SCAN, EPSILON, ITEM_SHARE = 50, 1e-12, 0.25
 
 
@@ -33,31 +36,69 @@ def budget_prefix(ranked: DataFrame, budget: int) -> DataFrame:
 def budget_greedy(ranked: DataFrame, budget: int, item_cap: int | None = None, top_k: int | None = None) -> DataFrame:
     """(query_id, id, rank): in rank order, what still fits is taken and the rest skipped.
 
-    A fold over one query's ranked list, so lists are meant to be cut before (thousands at most).
+    Rows whose ``forced`` is true, if ranked has that column, come first, are charged and
+    taken whatever they cost, and don't count for top_k.
     """
-    items = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("long").alias("rank"), F.col("id"), F.col("cost").cast("long").alias("cost")))).alias("items"))
-    kind = items.schema["items"].dataType.simpleString()
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast(kind).alias("taken"))
-
-    def step(s, x):
-        fits = (s["spent"] + x["cost"] <= budget) & (x["cost"] <= (budget if item_cap is None else item_cap))
-        if top_k is not None:
-            fits = fits & (F.size(s["taken"]) < top_k)
-        fits = fits | (x["rank"] == 0)  # what is charged in any case
-        return F.struct((s["spent"] + F.when(fits, x["cost"]).otherwise(0)).alias("spent"), F.when(fits, F.concat(s["taken"], F.array(x))).otherwise(s["taken"]).alias("taken"))
-
-    return items.select("query_id", F.explode(F.aggregate("items", start, step)["taken"]).alias("x")).select("query_id", F.col("x.id").alias("id"), F.col("x.rank").alias("rank"))
-
-
-def select_context(candidates: DataFrame, changed: DataFrame, budget: int, top_k: int | None = None, gap: bool = False) -> DataFrame:
-    """(query_id, id, role): changed ids always, then by score gap, top_k, item cap and budget."""
-    c = candidates.where("score > 0").join(changed.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    base = candidates.join(changed.select("query_id", "id"), ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.sum("cost").alias("base"))
-    c = c.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    return _packed(ranked, budget, item_cap, top_k).where("taken").select("query_id", "id", "rank")
+
+
+def _packed(ranked: DataFrame, budget: int | None, item_cap: int | None, top_k: int | None) -> DataFrame:
+    """ranked(query_id, rank, id, cost) with taken, by one ordered pass over each query's rows."""
+    forced = F.coalesce("forced", F.lit(False)) if "forced" in ranked.columns else F.lit(False)
+    rows = ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.col("cost").cast("long").alias("cost"), forced.alias("forced"))
+    limit, cap, most = budget if budget is not None else 1 << 62, item_cap if item_cap is not None else 1 << 62, top_k if top_k is not None else 1 << 62
+
+    def fold(batches):
+        query, spent, taken = object(), 0, 0
+        for b in batches:
+            out = []
+            for q, cost, must in zip(b.column("query_id").to_pylist(), b.column("cost").to_pylist(), b.column("forced").to_pylist(), strict=True):
+                if q != query:
+                    query, spent, taken = q, 0, 0
+                fits = must or taken < most and cost <= cap and spent + cost <= limit
+                if fits:
+                    spent, taken = spent + cost, taken + (not must)
+                out.append(fits)
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("rank"), b.column("id"), b.column("forced"), pa.array(out, pa.bool_())], names=["query_id", "rank", "id", "forced", "taken"])
+
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    return in_order(rows, "query_id", [F.desc("forced"), "rank", "id"], fold, f"query_id {kind('query_id')}, rank long, id {kind('id')}, forced boolean, taken boolean")
+
+
+def select_context(candidates: DataFrame, changed: DataFrame, budget: int | None, top_k: int | None = None, gap: bool = False) -> DataFrame:
+    """(query_id, id, role) of candidates(query_id, id, score, cost): changed, related or dropped.
+
+    Changed ids are taken and charged. The others come by score: under gap those before the
+    largest gap, zero scores left out; then at most top_k, of at most ITEM_SHARE of the
+    budget each, as far as the budget goes. What isn't taken is dropped, and told.
+    A changed id without a candidate row is selected and costs nothing.
+    """
+    keys = changed.select("query_id", "id").distinct()
+    mine = candidates.join(keys, ["query_id", "id"], "left_semi").select("query_id", "id", "cost", F.lit(0).cast("long").alias("rank"), F.lit(True).alias("forced"))
+    others = candidates.join(keys, ["query_id", "id"], "left_anti")
+    c, cut_off = others, None
     if gap:
-        c = c.join(gap_cut(c), "query_id").where("rank <= keep").drop("keep")
-    seed = base.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast(c.schema["id"].dataType).alias("id"), F.col("base").alias("cost"))
-    cap = int(ITEM_SHARE * budget)
-    listed = c.where(F.col("cost") <= cap).select("query_id", "rank", "id", "cost")
-    taken = budget_greedy(seed.unionByName(listed), budget, top_k=None if top_k is None else top_k + 1).where("id is not null")
-    return changed.select("query_id", "id", F.lit("changed").alias("role")).unionByName(taken.select("query_id", "id", F.lit("related").alias("role")))
+        positive = others.where(F.col("score") > EPSILON)
+        r = positive.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).join(gap_cut(positive), "query_id")
+        c = r.where("rank <= keep")
+        cut_off = others.join(c.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "id", F.lit("dropped").alias("role"))
+    c = c.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long"))
+    rows = mine.unionByName(c.select("query_id", "id", "cost", "rank", F.lit(False).alias("forced")))
+    packed = _packed(rows, budget, None if budget is None else int(ITEM_SHARE * budget), top_k)
+    out = packed.select("query_id", "id", F.when(F.col("forced"), "changed").when(F.col("taken"), "related").otherwise("dropped").alias("role"))
+    out = out.unionByName(keys.join(mine.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "id", F.lit("changed").alias("role")))
+    return out if cut_off is None else out.unionByName(cut_off)
+
+
+def cutoff_policies(scores: DataFrame) -> DataFrame:
+    """(policy, query_id, id, rank): what each cutoff keeps of scores > 0: top k, a share of the peak, the gap, a share of the mass."""
+    r = scores.where(F.col("score") > EPSILON)
+    w = Window.partitionBy("query_id")
+    order = w.orderBy(F.desc("score"), "id")
+    upto = F.sum("score").over(order.rowsBetween(Window.unboundedPreceding, -1)) / F.sum("score").over(w)
+    r = r.join(gap_cut(r), "query_id").select("query_id", "id", "score", "keep", F.row_number().over(order).alias("rank"), F.max("score").over(w).alias("peak"), F.coalesce(upto, F.lit(0.0)).alias("mass"))
+    rules = {f"topk_{k}": F.col("rank") <= k for k in (10, 20, 30, 50)}
+    rules |= {f"rel_{a}": F.col("score") >= a * F.col("peak") for a in (0.05, 0.1, 0.2, 0.3, 0.5)}
+    rules |= {"gap50": F.col("rank") <= F.col("keep")} | {f"mass_{b}": F.col("mass") < b for b in (0.5, 0.7, 0.9)}
+    kept = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
+    return r.select(F.explode(kept).alias("policy"), "query_id", "id", "rank")

@@ -100,16 +100,8 @@ def reverse_graph(spark, d):
     return closure.reverse_graph(fk_edges(spark, d))
 
 
-@query("select n_regionkey as component, count(*) as n from (select n_regionkey, 1 from nation union all select n_regionkey, 1 from customer join nation on c_nationkey = n_nationkey union all select r_regionkey, 1 from region) group by 1")
-def weak_components(spark, d):
-    e = fk_edges(spark, d).where("left(src, 1) in ('c', 'n')")
-    labels = closure.min_label_components(e)
-    root = labels.where("left(id, 1) = 'r'").select("label", F.substring("id", 3, 9).cast("int").alias("component"))
-    return labels.join(root, "label").groupBy("component").agg(F.count("*").alias("n"))
-
-
 @query()
-def weak_components_all(spark, d):
+def weak_components(spark, d):
     """Components over all foreign keys: their least id and size; a test has union-find over the same edges."""
     return closure.min_label_components(fk_edges(spark, d)).groupBy(F.col("label").alias("component")).agg(F.count("*").alias("n"))
 
@@ -148,8 +140,7 @@ def bm25_topk(spark, d):
 @query("with n as (select vec_id as id, embedding, label, sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * x))) as norm from embeddings), p as (select a.id as query_id, b.id as id, list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])) / (a.norm * b.norm) as score from n a join n b on a.id <> b.id) select query_id, id, rank from (select query_id, id, row_number() over (partition by query_id order by round(score, 5) desc, id) as rank from p) where rank <= 10")
 def dense_cosine_topk(spark, d):
     v = vectors(spark, d)
-    s = text.dense_cosine(v, v.select(F.col("id").alias("query_id"))).withColumn("score", F.round("score", 5))
-    return text.top_k(s, 10).select("query_id", "id", "rank")
+    return text.dense_topk(v, v.select(F.col("id").alias("query_id")), 10).select("query_id", "id", "rank")
 
 
 @query(f"with {CF} select a, b, n from pairs where n >= 2")
@@ -238,11 +229,63 @@ def adaptive_weights(spark, d):
     return w.select("query_id", F.round("wg", 6).alias("wg"), F.round("wb", 6).alias("wb"), "wf")
 
 
-@query(f"with {SIG}, g as (select query_id, id, case when min(score) over w = max(score) over w then 0.5 else (score - min(score) over w) / nullif(max(score) over w - min(score) over w, 0) end as s from sig window w as (partition by query_id)), l as (select query_id, id, case when min(n) over w = max(n) over w then 0.5 else (n - min(n) over w) / cast(nullif(max(n) over w - min(n) over w, 0) as double) end as s from sig window w as (partition by query_id)), wt as (select query_id, least(1.0, count(*) / 8.0) as c from sig group by 1) select query_id, id, round(100 * (0.3 * c * g.s + (0.5 + 0.3 * (1 - c)) * l.s + case when id = query_id then 0.2 else 0 end), 5) as score from g join l using (query_id, id) join wt using (query_id)")
+def _same_brand(spark, d):
+    """Parts of the brand of the part that has the query's number."""
+    p = table(spark, d, "part")
+    own = p.select(F.col("p_partkey").alias("query_id"), "p_brand").join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id")), "query_id", "left_semi")
+    return own.join(p.select(F.col("p_partkey").alias("id"), "p_brand"), "p_brand").select("query_id", "id")
+
+
+NORM = """
+g as (
+  select query_id, id, case when min(score) over w = max(score) over w then 0.5
+    else (score - min(score) over w) / nullif(max(score) over w - min(score) over w, 0) end as s
+  from graph window w as (partition by query_id)),
+l as (
+  select query_id, id, case when min(n) over w = max(n) over w then 0.5
+    else (n - min(n) over w) / cast(nullif(max(n) over w - min(n) over w, 0) as double) end as s
+  from lexical window w as (partition by query_id)),
+f as (
+  select a.p_partkey as query_id, b.p_partkey as id from part a join part b using (p_brand)
+  where a.p_partkey in (select s_suppkey from supplier)),
+c as (select query_id, least(1.0, count(*) / 8.0) as c from graph group by 1)"""
+
+
+@query(f"""
+with {SIG}, graph as (select * from sig), lexical as (select * from sig), {NORM}
+select query_id, id, round(sum(x), 5) as score from (
+  select query_id, id, 100 * 0.3 * c * s as x from g join c using (query_id)
+  union all select query_id, id, 100 * (0.8 - 0.3 * coalesce(c, 0)) * s from l left join c using (query_id)
+  union all select query_id, id, 20.0 from f) group by 1, 2""")
 def hybrid_blend(spark, d):
     s = _signals(spark, d)
     lex = s.select("query_id", "id", F.col("n").cast("double").alias("score"))
-    return blend.hybrid(s.select("query_id", "id", "score"), lex, s.where("id = query_id").select("query_id", "id"), blend.adaptive_weights(s)).withColumn("score", F.round("score", 5))
+    return blend.hybrid(s.select("query_id", "id", "score"), lex, _same_brand(spark, d)).withColumn("score", F.round("score", 5))
+
+
+@query(f"""
+with {SIG}, ch as (select query_id, min(id) as id from sig group by 1),
+graph as (select sig.* from sig join supplier on s_suppkey = query_id where s_acctbal >= 0 and id not in (select id from ch where ch.query_id = sig.query_id)),
+lexical as (select * from sig where id not in (select id from ch where ch.query_id = sig.query_id)), {NORM}, {CF},
+h as (
+  select query_id, b as id, max(pairs.n / cast(tot.n as double)) as s
+  from ch join pairs on a = ch.id join tot on tot.file = a where pairs.n >= 2 group by 1, 2)
+select query_id, id, round(sum(x), 5) as score from (
+  select query_id, id, 100 * 0.3 * c * s as x from g join c using (query_id)
+  union all select query_id, id, 100 * (0.8 - 0.3 * coalesce(c, 0)) * s from l left join c using (query_id)
+  union all select f.query_id, f.id, 20.0 from f anti join ch on ch.query_id = f.query_id and ch.id = f.id
+    where f.query_id in (select query_id from ch)
+  union all select query_id, id, 15 * s from h) group by 1, 2
+union all select sig.query_id, sig.id, round(score, 5) from sig join ch on ch.query_id = sig.query_id and ch.id = sig.id
+  join supplier on s_suppkey = sig.query_id where s_acctbal >= 0""")
+def hybrid_cochange(spark, d):
+    """All four signals; queries of suppliers in debt have no graph candidate, the changed part keeps its graph score."""
+    s = _signals(spark, d)
+    changed = s.groupBy("query_id").agg(F.min("id").alias("id"))
+    graph = s.join(table(spark, d, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("query_id")), "query_id", "left_semi").select("query_id", "id", "score")
+    lex = s.select("query_id", "id", F.col("n").cast("double").alias("score"))
+    past = history.scores_for_files(commit_files(spark, d), changed.withColumnRenamed("id", "file")).withColumnRenamed("file", "id")
+    return blend.hybrid(graph, lex, _same_brand(spark, d), None, past, changed).withColumn("score", F.round("score", 5))
 
 
 @query(f"with {SIG}, r as (select query_id, id, row_number() over (partition by query_id order by score desc, id) as rank from sig union all select query_id, id, row_number() over (partition by query_id order by n desc, id) from sig) select query_id, id, round(sum(1.0 / (60 + rank)), 6) as score, min(rank) as best from r group by 1, 2")
@@ -279,15 +322,8 @@ def budget_greedy(spark, d):
     return select.budget_greedy(r, 8000)
 
 
-@query("with a as (select c_custkey as id, c_mktsegment as code, c_nationkey as file from customer where c_custkey % 5 <> 0), b as (select c_custkey as id, case when c_custkey % 7 = 0 then 'x' else c_mktsegment end as code from customer where c_custkey % 3 <> 0) select coalesce(a.id, b.id) as id, case when a.id is null then 'added' when b.id is null then case when a.file < 3 then 'modified' else 'deleted' end else 'modified' end as status from a full join b on a.id = b.id where a.id is null or b.id is null or a.code <> b.code")
-def snapshot_diff(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("code"), F.col("c_nationkey").alias("file"))
-    new = c.where("id % 3 <> 0").withColumn("code", F.when(F.col("id") % 7 == 0, "x").otherwise(F.col("code")))
-    return diff.compare_states(c.where("id % 5 <> 0"), new, table(spark, d, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").alias("file")))
-
-
 @query("select coalesce(c_custkey, s_suppkey) as id, case when c_custkey is null then 'added' when s_suppkey is null then case when c_nationkey < 3 then 'modified' else 'deleted' end else 'modified' end as status from customer full join supplier on c_custkey = s_suppkey where c_custkey is null or s_suppkey is null or c_nationkey <> s_nationkey")
-def snapshot_diff_tables(spark, d):
+def snapshot_diff(spark, d):
     """The whole of customer against the whole of supplier."""
     old = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("code"), F.col("c_nationkey").alias("file"))
     new = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("code"))
@@ -313,9 +349,8 @@ VEC = "n as (select vec_id as id, embedding, label, sqrt(list_sum(list_transform
 
 def _dense_eval(spark, d):
     v = vectors(spark, d)
-    s = text.dense_cosine(v, v.select(F.col("id").alias("query_id"))).withColumn("score", F.round("score", 5))
     truth = v.select(F.col("id").alias("query_id"), "label").join(v.select("id", "label"), "label").where("id <> query_id").select("query_id", "id")
-    return text.top_k(s, 20), truth
+    return text.dense_topk(v, v.select(F.col("id").alias("query_id")), 20), truth
 
 
 @query(f"with {VEC}, m as (select sz.query_id, size, count(gd.id) as tp, count(case when gd.rank <= 10 then 1 end) as tp10 from sz left join gd using (query_id) group by 1, 2) select query_id, cast(tp > 0 as integer) as hit, round(tp / 20.0, 6) as precision, round(tp / cast(size as double), 6) as recall, round(tp10 / 10.0, 6) as p_at_10, round(case when tp > 0 then 2 * (tp / 20.0) * (tp / cast(size as double)) / (tp / 20.0 + tp / cast(size as double)) else 0 end, 6) as f1 from m")
@@ -372,7 +407,7 @@ def spearman(spark, d):
 @query("with d as (select avg(case when l_linestatus = 'F' then l_quantity end) - avg(case when l_linestatus = 'O' then l_quantity end) as d from lineitem group by l_suppkey), z as (select round(d, 6) as d, abs(round(d, 6)) as m from d where round(d, 6) <> 0), r as (select *, rank() over (order by m) + (count(*) over (partition by m) - 1) / 2.0 as r from z), t as (select sum(c * c * c - c) as t from (select count(*) as c from z group by m)), s as (select count(*) as n, sum(case when d > 0 then r else 0 end) as up, sum(case when d < 0 then r else 0 end) as dn from r) select n, cast(least(up, dn) as double) as w, round((least(up, dn) - n * (n + 1) / 4.0 + 0.5) / sqrt(n * (n + 1) * (2.0 * n + 1) / 24 - t / 48.0), 6) as z from s, t")
 def wilcoxon(spark, d):
     li = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg(F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))).alias("x"), F.avg(F.when(F.col("l_linestatus") == "O", F.col("l_quantity"))).alias("y"))
-    return stats.wilcoxon(li.select(F.round(F.col("x") - F.col("y"), 6).alias("a"), F.lit(0.0).alias("b"))).withColumn("z", F.round("z", 6))
+    return stats.wilcoxon(li.select(F.round(F.col("x") - F.col("y"), 6).alias("a"), F.lit(0.0).alias("b"))).select("n", "w", F.round("z", 6).alias("z"))
 
 
 @query("with t as (select p_partkey as name, (p_partkey % 97 + 1) / 100000.0 as p from part), r as (select *, row_number() over (order by p, name) - 1 as i, count(*) over () as m from t) select name, round(least(1.0, max((m - i) * p) over (order by p, name rows unbounded preceding)), 6) as adjusted from r")
@@ -381,10 +416,10 @@ def holm(spark, d):
     return stats.holm(t).select("name", F.round("adjusted", 6).alias("adjusted"))
 
 
-@query("with x as (select l_discount * 10 as p, case when l_returnflag = 'R' then 1.0 else 0.0 end as y from lineitem), b as (select least(floor(p * 5), 4) as b, count(*) as n, avg(p) as mp, avg(y) as my from x group by 1) select round((select sum(n * abs(mp - my)) / sum(n) from b), 6) as ece, round((select avg((p - y) * (p - y)) from x), 6) as brier")
+@query("with x as (select l_discount * 10 as p, case when l_returnflag = 'R' then 1.0 else 0.0 end as y from lineitem), b as (select least(floor(p * 5), 4) as b, count(*) as n, avg(p) as mp, avg(y) as my from x group by 1) select round((select sum(n * abs(mp - my)) / sum(n) from b), 6) as ece, round((select avg((p - y) * (p - y)) from x), 9) as brier")
 def ece_brier(spark, d):
     x = table(spark, d, "lineitem").select((F.col("l_discount") * 10).alias("p"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y"))
-    return stats.ece_brier(x, "p", "y").select(F.round("ece", 6).alias("ece"), F.round("brier", 6).alias("brier"))
+    return stats.ece_brier(x, "p", "y").select(F.round("ece", 6).alias("ece"), F.round("brier", 9).alias("brier"))
 
 
 @query("select cast(least(floor(l_quantity * 2 / 20), 4) as integer) as bucket, count(*) as n, round(avg(l_discount), 6) as mean_recall from lineitem group by 1")

@@ -9,11 +9,14 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows up to which a narrow side is broadcast; beyond it the join is left to shuffle.
 BROADCAST_ROWS = 1_000_000
+#: And about the bytes up to which it is.
+BROADCAST_BYTES = 128 << 20
 #: Rows of an Arrow batch to or from Python.
 ARROW_ROWS = 1500
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -60,9 +63,44 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows, else unchanged."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def row_bytes(schema: T.StructType) -> int:
+    """About the bytes of a row: what the optimizer supposes of each type, more of strings and arrays."""
+    def of(kind):
+        if isinstance(kind, T.StructType):
+            return sum(of(f.dataType) for f in kind)
+        if isinstance(kind, T.ArrayType | T.MapType):
+            return 32 * (of(kind.elementType) if isinstance(kind, T.ArrayType) else of(kind.keyType) + of(kind.valueType))
+        return 64 if isinstance(kind, T.StringType | T.BinaryType) else 8
+
+    return 8 + of(schema)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most that many rows and about so many bytes, else unchanged."""
+    most = max(1, min(rows, size // row_bytes(df.schema)))
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def range_sorted(df: DataFrame, *order, names: tuple[str, str] = ("tw_part", "tw_pos")) -> DataFrame:
+    """df with the part of a range sort that a row is in, and its position over all, from 1.
+
+    Parts are numbered in order; their sizes are added up, a row a part, so no task has all rows.
+    """
+    part, pos = names
+    s = cut(df.orderBy(*order).withColumn(part, F.spark_partition_id()))
+    local = s.withColumn(pos, F.row_number().over(Window.partitionBy(part).orderBy(*order)).cast("long"))
+    sizes = s.groupBy(part).agg(F.count("*").alias("n"))
+    ahead = sizes.select(F.col(part).alias("tw_of"), F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("tw_ahead"))
+    return local.join(small(ahead), F.col(part) == F.col("tw_of")).withColumn(pos, F.col(pos) + F.col("tw_ahead")).drop("tw_of", "tw_ahead")
+
+
+def in_order(df: DataFrame, key: str, order: list, fn, schema) -> DataFrame:
+    """fn over the rows of each key in order, as a stream of Arrow batches.
+
+    A key's rows come one after another in one task, sorted by Spark (which spills), so a
+    key of any size takes no more memory than a batch and what fn remembers.
+    """
+    return arrow(df.repartition(key).sortWithinPartitions(key, *order), fn, schema)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -99,7 +137,8 @@ def arrow(df: DataFrame, fn, schema) -> DataFrame:
     """df.mapInArrow(fn, schema) with this package at hand in the workers.
 
     Arrow batches are kept to ARROW_ROWS rows unless the session says otherwise, since
-    both ends of the pipe hold a batch of whole texts.
+    both ends of the pipe hold a batch of whole texts. Spark reads that setting when a
+    result is planned, which is after this function has ended, so it stays in the session.
     """
     spark = df.sparkSession
     ship(spark)
