@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WEIGHTS, HISTORY_WEIGHT, FULL_CONFIDENCE, RRF_K = (0.3, 0.5, 0.2), 0.15, 8, 60
@@ -73,3 +73,42 @@ def peak_cut(scores: DataFrame, share: float = 0.05, least: int = 10, most: int
     """What reaches a share of the query's peak, least rows at least and most at most."""
     r = ranked(scores).withColumn("peak", F.max("score").over(Window.partitionBy("query_id")))
     return r.where((F.col("rank") <= most) & ((F.col("score") >= share * F.col("peak")) | (F.col("rank") <= least))).drop("peak")
+
+
+def merge_seeds(ranks: DataFrame) -> DataFrame:
+    """(query_id, id, score): the best reciprocal rank over the seeds of ranks(query_id, seed, id, rank)."""
+    return ranks.groupBy("query_id", "id").agg(F.max(1.0 / F.col("rank")).alias("score"))
+
+
+def variants(signals: dict[str, DataFrame], weights: dict[str, dict[str, float]]) -> DataFrame:
+    """(variant, query_id, id, score): weighted sums of signals in [0, 1] for each named set of weights; signals are read once."""
+    rows = None
+    for name, s in signals.items():
+        of = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(float(w[name])).alias("w")) for v, w in weights.items() if name in w])
+        part = s.select("query_id", "id", "score", F.explode(of).alias("x")).select("x.variant", "query_id", "id", (F.col("x.w") * F.col("score")).alias("part"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("variant", "query_id", "id").agg(F.sum("part").alias("score"))
+
+
+def simplex_grid(spark: SparkSession, names: list[str], ticks: int) -> DataFrame:
+    """All weights of the names on steps of 1 / ticks that add to 1."""
+    g = spark.range(1).select(F.lit(ticks).alias("tw_rest"))
+    for n in names[:-1]:
+        g = g.withColumn(n, F.explode(F.sequence(F.lit(0), F.col("tw_rest")))).withColumn("tw_rest", F.col("tw_rest") - F.col(n))
+    return g.select(*[(F.col(n) / ticks).alias(n) for n in names[:-1]], (F.col("tw_rest") / ticks).alias(names[-1]))
+
+
+def grid_scores(candidates: DataFrame, grid: DataFrame, names: list[str]) -> DataFrame:
+    """(choice, query_id, id, score) of candidates(query_id, id, a column a signal) under each row of a grid(choice, ..); grids are small."""
+    g = grid.select("choice", *[F.col(n).alias(f"tw_{n}") for n in names])
+    score = sum((F.col(n) * F.col(f"tw_{n}") for n in names), F.lit(0.0))
+    return candidates.crossJoin(F.broadcast(g.limit(100_000))).select("choice", "query_id", "id", score.alias("score"))
+
+
+def redistribute(counts: DataFrame, weights: dict[str, float], enough: float) -> DataFrame:
+    """A row a query of counts(query_id, n): the first weight times min(1, n / enough), what it lacks spread over the others in proportion."""
+    (first, w0), *rest = weights.items()
+    r = F.least(F.lit(1.0), F.col("n") / F.lit(float(enough)))
+    total = sum(w for _, w in rest)
+    scale = (total + w0 * (1 - r)) / total if total > 1e-9 else F.lit(1.0)
+    return counts.select("query_id", (w0 * r).alias(first), *[(w * scale).alias(n) for n, w in rest])

@@ -59,3 +59,8 @@ def common_tasks(results: DataFrame) -> DataFrame:
     n = results.select("provider").distinct().agg(F.count("*").alias("n"))
     full = results.groupBy("task").agg(F.countDistinct("provider").alias("k")).crossJoin(F.broadcast(n)).where("k = n").select("task")
     return results.join(full, "task", "left_semi")
+
+
+def by_file(affected: DataFrame) -> DataFrame:
+    """(file, n, first) of affected(file, id)."""
+    return affected.groupBy("file").agg(F.count("*").alias("n"), F.min("id").alias("first"))

@@ -35,3 +35,10 @@ def scores_for_files(commit_files: DataFrame, changed: DataFrame, max_files: int
 
 def excluding(commit_files: DataFrame, commits: DataFrame) -> DataFrame:
     return commit_files.join(commits.select("commit"), "commit", "left_anti")
+
+
+def following(rows: DataFrame, window: int) -> DataFrame:
+    """(src, dst): for each of rows(key, t, id) the next `window` of its key in time."""
+    order = Window.partitionBy("key").orderBy("t", "id")
+    after = F.array(*[F.lead("id", i).over(order) for i in range(1, window + 1)])
+    return rows.select(F.col("id").alias("src"), after.alias("after")).select("src", F.explode("after").alias("dst")).where("dst is not null")

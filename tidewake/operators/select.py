@@ -102,3 +102,28 @@ def cutoff_policies(scores: DataFrame) -> DataFrame:
     rules |= {"gap50": F.col("rank") <= F.col("keep")} | {f"mass_{b}": F.col("mass") < b for b in (0.5, 0.7, 0.9)}
     kept = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
     return r.select(F.explode(kept).alias("policy"), "query_id", "id", "rank")
+
+
+def all_relevant(scores: DataFrame, extra: DataFrame) -> DataFrame:
+    """(query_id, id, pos): scored ids by score, then extra ids without one."""
+    keys = ["query_id", "id"]
+    s = scores.select(*keys, F.lit(0).alias("o"), F.col("score").cast("double").alias("score"))
+    rest = extra.select(*keys).distinct().join(scores.select(*keys), keys, "left_anti").select(*keys, F.lit(1).alias("o"), F.lit(0.0).alias("score"))
+    w = Window.partitionBy("query_id").orderBy("o", F.desc("score"), "id")
+    return s.unionByName(rest).select(*keys, F.row_number().over(w).cast("long").alias("pos"))
+
+
+def newest(entries: DataFrame, k: int = 5) -> DataFrame:
+    """The k newest of entries(key, id, at) of each key: what a cache keeps."""
+    w = Window.partitionBy("key").orderBy(F.desc("at"), F.desc("id"))
+    return entries.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select("key", "id")
+
+
+def trim(candidates: DataFrame, changed: DataFrame, budget: int) -> DataFrame:
+    """(query_id, id) of candidates(query_id, id, score, cost) that stay when the lowest scores go until the rest costs at most budget; changed ids stay."""
+    mine = changed.select("query_id", "id", F.lit(True).alias("forced")).distinct()
+    c = candidates.join(mine, ["query_id", "id"], "left").withColumn("forced", F.coalesce("forced", F.lit(False)))
+    w = Window.partitionBy("query_id")
+    before = F.coalesce(F.sum("cost").over(w.orderBy("forced", "score", F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    c = c.withColumn("before", before).withColumn("over", F.sum("cost").over(w) - budget)
+    return c.where(F.col("forced") | (F.col("before") >= F.col("over"))).select("query_id", "id")

@@ -253,14 +253,14 @@ c as (select query_id, least(1.0, count(*) / 8.0) as c from graph group by 1)"""
 
 @query(f"""
 with {SIG}, graph as (select * from sig), lexical as (select * from sig), {NORM}
-select query_id, id, round(sum(x), 5) as score from (
+select query_id, id, round(sum(x), 10) as score from (
   select query_id, id, 100 * 0.3 * c * s as x from g join c using (query_id)
   union all select query_id, id, 100 * (0.8 - 0.3 * coalesce(c, 0)) * s from l left join c using (query_id)
   union all select query_id, id, 20.0 from f) group by 1, 2""")
 def hybrid_blend(spark, d):
     s = _signals(spark, d)
     lex = s.select("query_id", "id", F.col("n").cast("double").alias("score"))
-    return blend.hybrid(s.select("query_id", "id", "score"), lex, _same_brand(spark, d)).withColumn("score", F.round("score", 5))
+    return blend.hybrid(s.select("query_id", "id", "score"), lex, _same_brand(spark, d)).withColumn("score", F.round("score", 10))
 
 
 @query(f"""
@@ -270,13 +270,13 @@ lexical as (select * from sig where id not in (select id from ch where ch.query_
 h as (
   select query_id, b as id, max(pairs.n / cast(tot.n as double)) as s
   from ch join pairs on a = ch.id join tot on tot.file = a where pairs.n >= 2 group by 1, 2)
-select query_id, id, round(sum(x), 5) as score from (
+select query_id, id, round(sum(x), 10) as score from (
   select query_id, id, 100 * 0.3 * c * s as x from g join c using (query_id)
   union all select query_id, id, 100 * (0.8 - 0.3 * coalesce(c, 0)) * s from l left join c using (query_id)
   union all select f.query_id, f.id, 20.0 from f anti join ch on ch.query_id = f.query_id and ch.id = f.id
     where f.query_id in (select query_id from ch)
   union all select query_id, id, 15 * s from h) group by 1, 2
-union all select sig.query_id, sig.id, round(score, 5) from sig join ch on ch.query_id = sig.query_id and ch.id = sig.id
+union all select sig.query_id, sig.id, round(score, 10) from sig join ch on ch.query_id = sig.query_id and ch.id = sig.id
   join supplier on s_suppkey = sig.query_id where s_acctbal >= 0""")
 def hybrid_cochange(spark, d):
     """All four signals; queries of suppliers in debt have no graph candidate, the changed part keeps its graph score."""
@@ -285,7 +285,7 @@ def hybrid_cochange(spark, d):
     graph = s.join(table(spark, d, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("query_id")), "query_id", "left_semi").select("query_id", "id", "score")
     lex = s.select("query_id", "id", F.col("n").cast("double").alias("score"))
     past = history.scores_for_files(commit_files(spark, d), changed.withColumnRenamed("id", "file")).withColumnRenamed("file", "id")
-    return blend.hybrid(graph, lex, _same_brand(spark, d), None, past, changed).withColumn("score", F.round("score", 5))
+    return blend.hybrid(graph, lex, _same_brand(spark, d), None, past, changed).withColumn("score", F.round("score", 10))
 
 
 @query(f"with {SIG}, r as (select query_id, id, row_number() over (partition by query_id order by score desc, id) as rank from sig union all select query_id, id, row_number() over (partition by query_id order by n desc, id) from sig) select query_id, id, round(sum(1.0 / (60 + rank)), 6) as score, min(rank) as best from r group by 1, 2")
