@@ -43,3 +43,10 @@ def cochange_cases(commit_symbols: DataFrame) -> DataFrame:
 def noisy_commits(commits: DataFrame) -> DataFrame:
     """commits(commit, n_symbols, n_files) with reason: 20 symbols, else 10 files."""
     return commits.withColumn("reason", F.when(F.col("n_symbols") >= 20, "symbols").when(F.col("n_files") >= 10, "files").otherwise("none"))
+
+
+def changed_symbols(touched: DataFrame, prior: DataFrame, current: DataFrame, broken: DataFrame) -> DataFrame:
+    """Ids(id) touched by hunks, prior(id, file) ids of broken(file) files, and prior ids that current(id) lacks."""
+    held = prior.join(broken.select("file").distinct(), "file", "left_semi").select("id")
+    gone = prior.select("id").join(current.select("id"), "id", "left_anti")
+    return touched.select("id").union(held).union(gone).distinct()

@@ -64,3 +64,9 @@ def common_tasks(results: DataFrame) -> DataFrame:
 def by_file(affected: DataFrame) -> DataFrame:
     """(file, n, first) of affected(file, id)."""
     return affected.groupBy("file").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
+def module_snapshot(symbols: DataFrame, selected: DataFrame) -> DataFrame:
+    """(file, total, selected) of symbols(file, id) and the ids selected."""
+    s = symbols.join(selected.select("id").distinct().withColumn("tw_in", F.lit(1)), "id", "left")
+    return s.groupBy("file").agg(F.count("*").alias("total"), F.count("tw_in").alias("selected"))

@@ -1,3 +1,3 @@
 """Import this to have every query in the catalogue."""
 
-from tidewake.plans import lookup  # noqa: F401
+from tidewake.plans import checks, lookup  # noqa: F401
