@@ -34,8 +34,10 @@ def _group_pairs(members: DataFrame, key: str, least: int, most: int) -> DataFra
 
 
 def shared_import_edges(symbols: DataFrame, imports: DataFrame, cap: int = IMPORT_CAP) -> DataFrame:
-    """First symbols of files that import(file, target) the same target, of 2 to cap files."""
-    return _group_pairs(imports.select("file", "target").distinct().join(representatives(symbols), "file"), "target", 2, cap)
+    """First symbols of files that import(file, target) the same target, of 2 to cap files; files without symbols count."""
+    i = imports.select("file", "target").distinct()
+    few = i.groupBy("target").agg(F.count("*").alias("n")).where((F.col("n") >= 2) & (F.col("n") <= cap)).select("target")
+    return _group_pairs(i.join(few, "target").join(representatives(symbols), "file"), "target", 2, cap)
 
 
 def same_directory_edges(symbols: DataFrame, cap: int = DIRECTORY_CAP) -> DataFrame:
