@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewake.operators.text import bm25, top_k
-from tidewake.runtime import small
+from tidewake.runtime import ship, small
 
 #: Share of equal characters that a suggestion has at least.
 LIKENESS = 0.6
@@ -123,28 +123,30 @@ def unknown_symbols(asked: DataFrame, *known: DataFrame) -> DataFrame:
 def likeness(a, b):
     """The share of characters of two strings in matching blocks, from 0 to 1."""
 
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    def ratio(a, b):
         return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return F.pandas_udf(ratio, T.DoubleType(), F.PandasUDFType.SCALAR)(a, b)
+    ratio.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return F.pandas_udf(ratio, T.DoubleType())(a, b)
 
 
 def suggest_similar(unknown: DataFrame, known: DataFrame, k: int = 1) -> DataFrame:
     """(id, suggestion, likeness, rank): known ids for the unknown ones.
 
     Ids of the same bare name come first, nearest by id; without any, ids of the bare names
-    that are most alike, LIKENESS at least. Names are compared once each: of very different
-    lengths, or with no pair of letters in common, they can't be alike.
+    that are most alike, LIKENESS at least. Distinct names are compared once each, with those of
+    a length that allows it.
     """
+    ship(unknown.sparkSession)
     last = lambda df: df.select("id", bare_name(F.element_at(F.split("id", ":"), -1)).alias("name")).distinct()
     u, ids = last(unknown).withColumnRenamed("id", "asked"), last(known)
     same = u.join(ids, "name").select("asked", F.col("id").alias("suggestion"), F.lit(1).alias("tier"))
     rest = u.join(same.select("asked").distinct(), "asked", "left_anti")
-    pairs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.substring(c, i, 2))
-    a = rest.select("name").distinct().select("name", F.explode(F.array_distinct(pairs(F.col("name")))).alias("two"))
-    b = ids.select(F.col("name").alias("other")).distinct().select("other", F.explode(F.array_distinct(pairs(F.col("other")))).alias("two"))
-    size, wide = F.least(F.length("name"), F.length("other")), F.length("name") + F.length("other")
-    near = a.join(b, "two").where(2.0 * size / wide >= LIKENESS).select("name", "other").distinct().withColumn("like", likeness("name", "other")).where(F.col("like") >= LIKENESS)
+    most = (2.0 - LIKENESS) / LIKENESS  # 2 * shorter / (shorter + longer) is the greatest share that two lengths allow
+    lengths = F.sequence(F.ceil(F.length("name") / most).cast("int"), F.floor(F.length("name") * most).cast("int"))
+    a = rest.select("name").distinct().select("name", F.explode(lengths).alias("size"))
+    b = ids.select(F.col("name").alias("other")).distinct().withColumn("size", F.length("other"))
+    near = b.join(small(a), "size").select("name", "other").withColumn("like", likeness("name", "other")).where(F.col("like") >= LIKENESS)
     other = rest.join(near, "name").join(ids.withColumnRenamed("name", "other"), "other").select("asked", F.col("id").alias("suggestion"), F.lit(2).alias("tier"), "like")
     every = same.withColumn("like", F.lit(1.0)).unionByName(other).withColumn("whole", likeness("asked", "suggestion"))
     w = Window.partitionBy("asked").orderBy("tier", F.desc("like"), F.desc("whole"), "suggestion")
