@@ -196,7 +196,10 @@ def test_paths(spark):
     p = spark.createDataFrame([("a/node_modules/x.py",), ("a/x.py",), ("build",), ("k.egg-info/x.py",), ("a/x.min.js",), ("a/x.spec.ts",)], "p string")
     assert [r.p for r in p.where(~S.excluded("p")).collect()] == ["a/x.py", "build", "a/x.min.js", "a/x.spec.ts"]
     assert [r.p for r in p.where(S.should_index("p")).collect()] == ["a/node_modules/x.py", "a/x.py", "build", "k.egg-info/x.py"]
-    assert S.adapter_for_path("x/y.py") and S.adapter_for_path("x/y.rs") is None and S.indexable_extensions() == (".py",)
+    assert S.adapter_for_path("x/y.py") and S.adapter_for_path("x/y.rs") is None
+    assert S.indexable_extensions() == (".cjs", ".js", ".jsx", ".mjs", ".py", ".ts", ".tsx")
+    q = spark.createDataFrame([("./static/a.py",), ("./static/a.js",), ("./src/OUT/a.ts",), ("./outer/a.tsx",), ("./a.spec.js",), ("./spec.js",)], "p string")
+    assert [r.p for r in q.where(S.should_index("p")).collect()] == ["./static/a.py", "./outer/a.tsx", "./spec.js"]
     f = spark.createDataFrame([("./a.py", b"x"), ("./b.py", b"\xff")], "rel_file string, content binary")
     assert [r.rel_file for r in S.encoding_problems(f).collect()] == ["./b.py"]
     assert S.once(spark.createDataFrame([("s", "f", 2), ("s", "f", 1), ("t", "f", 3)], "session string, file string, line int"), "session", "file").count() == 2

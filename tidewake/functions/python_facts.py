@@ -20,6 +20,8 @@ from collections import deque
 
 import pyarrow as pa
 
+from tidewake.functions import script_facts
+
 COLUMNS = ("kind", "file", "owner", "cls", "qualifier", "name", "local", "ord", "level", "lineno", "end", "flag", "path", "code", "doc")
 SCHEMA = "kind string, file string, owner string, cls string, qualifier string, name string, local string, ord int, level int, lineno int, end int, flag boolean, path array<string>, code string, doc string"
 _ARROW = [pa.string()] * 7 + [pa.int32()] * 4 + [pa.bool_(), pa.list_(pa.string()), pa.string(), pa.string()]
@@ -253,12 +255,20 @@ def facts(file: str, content: bytes) -> list[tuple]:
     return rows
 
 
+def _of_file(file: str, content: bytes) -> list[tuple]:
+    if file.endswith(script_facts.EXTENSIONS):
+        return script_facts.facts(file, content, COLUMNS)
+    if file.rsplit("/", 1)[-1] in script_facts.CONFIGS:
+        return script_facts.config_facts(file, content, COLUMNS)
+    return facts(file, content)
+
+
 def fact_batches(batches):
-    """For mapInArrow over files(rel_file, content)."""
+    """For mapInArrow over files(rel_file, content): facts by what a file's name ends with."""
     for b in batches:
         rows = []
         for file, content in zip(b.column("rel_file").to_pylist(), b.column("content").to_pylist(), strict=True):
-            rows.extend(facts(file, content))
+            rows.extend(_of_file(file, content))
             if len(rows) >= 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], names=list(COLUMNS))
                 rows = []

@@ -85,9 +85,11 @@ def variants(signals: dict[str, DataFrame], weights: dict[str, dict[str, float]]
     rows = None
     for name, s in signals.items():
         of = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(float(w[name])).alias("w")) for v, w in weights.items() if name in w])
-        part = s.select("query_id", "id", "score", F.explode(of).alias("x")).select("x.variant", "query_id", "id", (F.col("x.w") * F.col("score")).alias("part"))
+        part = s.select("query_id", "id", F.explode(of).alias("x"), F.lit(name).alias("signal"), "score").select("x.variant", "query_id", "id", "signal", (F.col("x.w") * F.col("score")).alias("part"))
         rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("variant", "query_id", "id").agg(F.sum("part").alias("score"))
+    # signal by signal, so that a sum's last bits don't follow from the order of rows
+    own = [F.sum(F.when(F.col("signal") == n, F.col("part")).otherwise(0.0)) for n in signals]
+    return rows.groupBy("variant", "query_id", "id").agg(sum(own[1:], own[0]).alias("score"))
 
 
 def simplex_grid(spark: SparkSession, names: list[str], ticks: int) -> DataFrame:

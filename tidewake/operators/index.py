@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.operators import blend, closure, diff, history, render, resolve, scoring, search, select, text
+from tidewake.operators import blend, closure, diff, history, render, resolve, scoring, script_graph, search, select, text
 from tidewake.runtime import cut
 from tidewake.sources import files as S
 from tidewake.sources import git
@@ -44,12 +44,19 @@ class Index:
 def _built(root: str, files: DataFrame, facts: DataFrame, edges: DataFrame | None = None) -> Index:
     facts = cut(facts)
     symbols = cut(resolve.symbols(facts))
-    return Index(root, files, facts, symbols, cut(resolve.repository_edges(facts, files)) if edges is None else edges)
+    return Index(root, files, facts, symbols, cut(_graph(facts, files)) if edges is None else edges)
+
+
+def _graph(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """Edges of Python files, and of scripts where there are any."""
+    python = resolve.repository_edges(facts.where("file like '%.py'"), files)
+    scripts = facts.where("file not like '%.py'")
+    return python if scripts.isEmpty() else python.unionByName(script_graph.script_edges(scripts, files))
 
 
 def index_repository(spark: SparkSession, root: str, cache: str | None = None) -> Index:
-    """Index the Python files below root. With a cache folder only files of new content are parsed, and a known state's graph is read."""
-    files = cut(S.discover(spark, root, (".py",)))
+    """Index the source files below root. With a cache folder only files of new content are parsed, and a known state's graph is read."""
+    files = cut(S.discover(spark, root))
     if cache is None:
         return _built(root, files, resolve.extract_facts(files))
     store = FactCache(cache)
@@ -78,7 +85,7 @@ def update_index(index: Index, changed: list[str], files: DataFrame | None = Non
     spark = index.files.sparkSession
     names = normalised(index.root, changed)
     gone = spark.createDataFrame([(n,) for n in names], "rel_file string")
-    fresh = (S.discover(spark, index.root, (".py",)) if files is None else files).join(gone, "rel_file", "left_semi")
+    fresh = (S.discover(spark, index.root) if files is None else files).join(gone, "rel_file", "left_semi")
     fresh = cut(fresh.select("rel_file", "content"))
     kept = index.files.select("rel_file", "content").join(gone, "rel_file", "left_anti")
     facts = index.facts.join(gone.withColumnRenamed("rel_file", "file"), "file", "left_anti").select(*index.facts.columns)

@@ -336,11 +336,11 @@ def seed_merge(spark, d):
 with {SIG}, g as (select query_id, id, case when min(score) over w = max(score) over w then 0.5 else (score - min(score) over w) / nullif(max(score) over w - min(score) over w, 0) end as s from sig window w as (partition by query_id)),
 l as (select query_id, id, case when min(n) over w = max(n) over w then 0.5 else (n - min(n) over w) / cast(nullif(max(n) over w - min(n) over w, 0) as double) end as s from sig window w as (partition by query_id)),
 v as (select * from (values ('graph+bm25', 0.6, 0.4), ('graph+file', 0.7, 0.0), ('graph+bm25+file', 0.5, 0.35)) t(variant, wg, wb))
-select variant, query_id, id, round(wg * g.s + wb * l.s, 6) as score from g join l using (query_id, id), v""")
+select variant, query_id, id, round(wg * g.s + wb * l.s, 9) as score from g join l using (query_id, id), v""")
 def blend_variants(spark, d):
     s = _signals(spark, d)
     signals = {"graph": blend.normalise(s.select("query_id", "id", "score")), "bm25": blend.normalise(s.select("query_id", "id", F.col("n").cast("double").alias("score")))}
-    return blend.variants(signals, {"graph+bm25": {"graph": 0.6, "bm25": 0.4}, "graph+file": {"graph": 0.7, "file": 0.3}, "graph+bm25+file": {"graph": 0.5, "bm25": 0.35, "file": 0.15}}).withColumn("score", F.round("score", 6))
+    return blend.variants(signals, {"graph+bm25": {"graph": 0.6, "bm25": 0.4}, "graph+file": {"graph": 0.7, "file": 0.3}, "graph+bm25+file": {"graph": 0.5, "bm25": 0.35, "file": 0.15}}).withColumn("score", F.round("score", 9))
 
 
 @query("""

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewake.functions.script_facts import CONFIGS, EXTENSIONS
 from tidewake.operators import resolve
 from tidewake.runtime import arrow
 
@@ -20,8 +21,9 @@ FILES_A_TASK = 500
 #: Folders that hold no sources of one's own.
 EXCLUDED = frozenset(".git .hg .svn .tox .nox .venv venv env __pycache__ .mypy_cache .pytest_cache .ruff_cache .eggs .idea .vscode node_modules site-packages build dist".split())
 #: Readers of facts by extension: files(rel_file, content) to facts.
-ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {".py": resolve.extract_facts}
-_NOT_INDEXED = re.compile(r"\.min\.|\.(test|spec)\.|(^|/)(vendor|third_party|fixtures?|__tests__|__mocks__)/")
+ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {e: resolve.extract_facts for e in (".py", *EXTENSIONS)}
+#: Of scripts: minified files, tests by name, and folders of what is built or taken over.
+_NOT_INDEXED = re.compile(r"\.min\.[^/]*$|\.(test|spec)\.[^/.]+$|(^|/)(static|staticfiles|assets|public|vendors?|coverage|\.next|\.nuxt|out)/", re.IGNORECASE)
 
 
 def indexable_extensions() -> tuple[str, ...]:
@@ -39,8 +41,9 @@ def excluded(path):
 
 
 def should_index(path):
-    """False for minified files, tests by name, and vendored folders."""
-    return ~F.col(path).rlike(_NOT_INDEXED.pattern)
+    """False for scripts that are minified, tests by name, or in folders of what is built or taken over."""
+    script = F.col(path).rlike(r"\.([tj]sx?|[mc]js)$")
+    return ~(script & F.lower(F.col(path)).rlike(_NOT_INDEXED.pattern))
 
 
 def tracked_paths(root: str) -> list[str] | None:
@@ -62,15 +65,16 @@ def walked_paths(root: str) -> list[str]:
 
 
 def discover(spark: SparkSession, root: str, extensions=None) -> DataFrame:
-    """(rel_file, content) of the source files below root: those that git tells of, else all but the excluded.
+    """(rel_file, content) of the source files below root, and of scripts' configs: those that git tells of, else all but the excluded.
 
     Executors read the files, from a folder that they share. (Spark's own file sources pass
     over names with a leading underscore, and so over every __init__.py.)
     """
     root, wanted = os.path.abspath(root), tuple(extensions or indexable_extensions())
     known = tracked_paths(root)
-    names = [p for p in (walked_paths(root) if known is None else known) if p.endswith(wanted)]
-    paths = spark.createDataFrame([(f"./{p}",) for p in names], "rel_file string").where(~excluded("rel_file"))
+    configs = CONFIGS if set(wanted) & set(EXTENSIONS) else ()  # they tell what scripts' imports mean
+    names = [p for p in (walked_paths(root) if known is None else known) if p.endswith(wanted) or os.path.basename(p) in configs]
+    paths = spark.createDataFrame([(f"./{p}",) for p in names], "rel_file string").where(~excluded("rel_file") & should_index("rel_file"))
 
     def read(batches):
         for b in batches:
