@@ -109,9 +109,12 @@ def file_groups(spark, d):
 
 @query("select c_custkey as id from customer anti join orders on o_custkey = c_custkey")
 def isolated_nodes(spark, d):
-    e = table(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
-    g = edges.degrees(e, table(spark, d, "customer").select(F.col("c_custkey").alias("id")))
-    return g.where("indeg + outdeg = 0").select("id")
+    """Ids of orders and customers are told apart: an order that has a customer's number is no edge of theirs."""
+    node = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("key"))
+    e = table(spark, d, "orders").select(node("order", "o_orderkey").alias("src"), node("customer", "o_custkey").alias("dst"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    linked = edges.degrees(e, c.select(node("customer", "id").alias("id"))).where("indeg + outdeg > 0").select(F.col("id.key").alias("id"))
+    return c.join(linked, "id", "left_anti")
 
 
 @query(f"with {FK}, e as (select distinct src, dst from edges), i as (select dst, src from e) select dst as file, count(*) as n, min(src) as first from i group by 1")
