@@ -35,3 +35,14 @@ def test_order_with_a_customers_number_is_no_edge_of_theirs(spark, tables):
     got = lookup.isolated_nodes(spark, d).collect()
     same(got, sql("isolated_nodes", d, "customer", "orders"))
     assert {r.id for r in got} == {1, 3, None}
+
+
+def test_relations_are_counted_without_pairs(spark, tables):
+    odd = [(1, i, t, b) for i, (t, b) in enumerate([("a/x", "p"), ("a/x", "p"), ("a/x", "q"), ("b", "p"), (None, "p"), ("b", None), ("a/x", "p")])]
+    d = tables(part=([*odd, (1, 0, "a/x", "p"), (2, 9, "a/x", "p"), (2, None, "a/x", "p"), (None, 8, "b", "p"), (None, 7, "b", "p")], "p_size int, p_partkey long, p_type string, p_brand string"))
+    same(lookup.relation_classes(spark, d).collect(), sql("relation_classes", d, "part"))
+    n = 200_000  # two thousand million pairs of each of ten sizes
+    spark.range(n).selectExpr("cast(id % 10 as int) as p_size", "id as p_partkey", "'t' as p_type", "cast(id % 3 as string) as p_brand").write.mode("overwrite").parquet(f"{d}/part.parquet")
+    got = {r.relation: r.n for r in lookup.relation_classes(spark, d).collect()}
+    assert sum(got.values()) == 10 * (n // 10) * (n // 10 - 1) // 2
+    assert "Join" not in spark._jvm.PythonSQLUtils.explainString(lookup.relation_classes(spark, d)._jdf.queryExecution(), "simple").replace("NestedLoopJoin", "")

@@ -17,6 +17,10 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 1_000_000
 #: And about the bytes up to which it is.
 BROADCAST_BYTES = 128 << 20
+#: Rows of a task where a step is split by its number of rows.
+TASK_ROWS = 250_000
+#: Pairs that a task makes where they are streamed on.
+TASK_PAIRS = 4_000_000
 #: Rows of an Arrow batch to or from Python.
 ARROW_ROWS = 1500
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -81,6 +85,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def spread(df: DataFrame, rows: int, *keys, each: int = TASK_ROWS) -> DataFrame:
+    """df shuffled by keys (or evenly, without any) into parts of about `each` of those rows, as many as the session's at least.
+
+    Parts asked for so aren't joined again by the session, so a task's share doesn't grow with the input.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // each)), *keys)
+
+
 def range_sorted(df: DataFrame, *order, names: tuple[str, str] = ("tw_part", "tw_pos")) -> DataFrame:
     """df with the part of a range sort that a row is in, and its position over all, from 1.
 
