@@ -46,3 +46,27 @@ def test_relations_are_counted_without_pairs(spark, tables):
     got = {r.relation: r.n for r in lookup.relation_classes(spark, d).collect()}
     assert sum(got.values()) == 10 * (n // 10) * (n // 10 - 1) // 2
     assert "Join" not in spark._jvm.PythonSQLUtils.explainString(lookup.relation_classes(spark, d)._jdf.queryExecution(), "simple").replace("NestedLoopJoin", "")
+
+
+def test_random_baseline_ranks_what_all_draws_rank(spark, monkeypatch):
+    from tidewake.operators import search
+
+    ids, q = spark.range(3000).select("id"), spark.range(5).selectExpr("id as query_id")
+    want = {tuple(r) for r in duckdb.sql("select q, i, row_number() over (partition by q order by sha256('42:' || q || ':' || i), i) as rank from range(5) a(q), range(3000) b(i) where q <> i qualify rank <= 20").fetchall()}
+    monkeypatch.setattr(search, "cut", kept := Kept(search.cut))
+    assert {tuple(r) for r in search.random_baseline(ids, q, 20).collect()} == want
+    assert max(kept.counts) < 5 * 400  # not every draw is ranked
+    # without slack under the bound queries are ranked again with all draws
+    monkeypatch.setattr(search, "format", lambda x, f: "00000001", raising=False)
+    assert {tuple(r) for r in search.random_baseline(ids, q, 20).collect()} == want
+
+
+class Kept:
+    """Counts the rows of what is written on the way."""
+
+    def __init__(self, cut):
+        self.cut, self.counts = cut, []
+
+    def __call__(self, df):
+        self.counts.append((df := self.cut(df)).count())
+        return df

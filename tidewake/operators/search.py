@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewake.operators.text import bm25, top_k
-from tidewake.runtime import ship, small
+from tidewake.runtime import TASK_PAIRS, cut, ship, small, spread
 
 #: Share of equal characters that a suggestion has at least.
 LIKENESS = 0.6
@@ -83,9 +83,28 @@ def bm25_baseline(symbols: DataFrame, query_ids: DataFrame, k: int) -> DataFrame
 
 
 def random_baseline(ids: DataFrame, queries: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """(query_id, id, rank): k ids of ids(id) by a SHA-256 of seed, query and id; each query is held against all ids."""
+    """(query_id, id, rank): k ids of ids(id) by a SHA-256 of seed, query and id; each query is held against all ids.
+
+    Draws are uniform, so those under a bound that about 4 k + 40 of a query reach are
+    ranked first; a query with fewer than k under it is ranked again with all of its draws.
+    """
     draw = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("query_id").cast("string"), F.col("id").cast("string")), 256)
-    r = ids.select("id").crossJoin(small(queries.select("query_id").distinct())).where(~F.col("id").eqNullSafe(F.col("query_id"))).withColumn("draw", draw)
+    asked = cut(queries.select("query_id").distinct())
+    n, m = ids.count(), asked.count()
+
+    def drawn(of):
+        every = spread(ids.select("id"), n * m, each=TASK_PAIRS).crossJoin(small(of))
+        return every.where(~F.col("id").eqNullSafe(F.col("query_id"))).withColumn("draw", draw)
+
+    share = (4 * k + 40) / max(n, 1)
+    if share >= 1:
+        r = drawn(asked)
+    else:
+        r = cut(drawn(asked).where(F.col("draw") < format(int(share * 16**8), "08x")))
+        enough = r.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("done"))
+        short = cut(asked.join(small(enough), F.col("query_id").eqNullSafe(F.col("done")), "left_anti"))
+        if not short.isEmpty():
+            r = r.join(small(enough), F.col("query_id").eqNullSafe(F.col("done")), "left_semi").unionByName(drawn(short))
     return r.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("draw", "id"))).where(F.col("rank") <= k).select("query_id", "id", "rank")
 
 
