@@ -84,3 +84,12 @@ def test_control_by_key_is_that_of_its_pairs(spark):
     pairs = cases.crossJoin(ids).where("id % 3 = query_id % 3")
     a, b = (verify.future_validity(got, truth, cases, changes, c, 9).collect() for c in (pairs, (cases, ids, key)))
     assert a == b
+
+
+def test_pairs_of_several_keys_come_once(spark):
+    from tidewake.operators import edges
+
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (2, "x"), (3, None), (4, "y"), (7, "z")], "src long, key string")
+    b = spark.createDataFrame([(1, "x"), (5, "x"), (5, "y"), (6, "y"), (8, None), (9, "w")], "dst long, key string")
+    got = [tuple(r) for r in edges.keyed_pairs(a, b).collect()]
+    assert sorted(got) == [(1, 5), (1, 6), (2, 1), (2, 5), (4, 5), (4, 6)]
