@@ -93,3 +93,16 @@ def test_pairs_of_several_keys_come_once(spark):
     b = spark.createDataFrame([(1, "x"), (5, "x"), (5, "y"), (6, "y"), (8, None), (9, "w")], "dst long, key string")
     got = [tuple(r) for r in edges.keyed_pairs(a, b).collect()]
     assert sorted(got) == [(1, 5), (1, 6), (2, 1), (2, 5), (4, 5), (4, 6)]
+
+
+def test_truth_by_label_is_that_of_its_pairs(spark):
+    from tidewake.operators import evaluate
+
+    v = spark.createDataFrame([(i, i * i % 5) for i in range(30)] + [(30, None), (31, 9)], "id long, label long")
+    r = spark.createDataFrame([(q, (q * 3 + i * 7) % 33, i + 1) for q in range(32) for i in range(6)], "query_id long, id long, rank int")
+    pairs = v.selectExpr("id as query_id", "label").join(v, "label").where("id <> query_id").select("query_id", "id")
+    for f in (evaluate.case_metrics, evaluate.rank_metrics):
+        same(f(r, v).collect(), f(r, pairs).collect())
+    two = v.unionByName(spark.createDataFrame([(3, 1)], "id long, label long"))  # an id of two labels
+    pairs = two.selectExpr("id as query_id", "label").join(two, "label").where("id <> query_id").select("query_id", "id")
+    same(evaluate.case_metrics(r, two).collect(), evaluate.case_metrics(r, pairs).collect())

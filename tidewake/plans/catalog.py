@@ -349,8 +349,7 @@ VEC = "n as (select vec_id as id, embedding, label, sqrt(list_sum(list_transform
 
 def _dense_eval(spark, d):
     v = vectors(spark, d)
-    truth = v.select(F.col("id").alias("query_id"), "label").join(v.select("id", "label"), "label").where("id <> query_id").select("query_id", "id")
-    return text.dense_topk(v, v.select(F.col("id").alias("query_id")), 20), truth
+    return text.dense_topk(v, v.select(F.col("id").alias("query_id")), 20), v.select("id", "label")
 
 
 @query(f"with {VEC}, m as (select sz.query_id, size, count(gd.id) as tp, count(case when gd.rank <= 10 then 1 end) as tp10 from sz left join gd using (query_id) group by 1, 2) select query_id, cast(tp > 0 as integer) as hit, round(tp / 20.0, 6) as precision, round(tp / cast(size as double), 6) as recall, round(tp10 / 10.0, 6) as p_at_10, round(case when tp > 0 then 2 * (tp / 20.0) * (tp / cast(size as double)) / (tp / 20.0 + tp / cast(size as double)) else 0 end, 6) as f1 from m")
