@@ -124,3 +124,24 @@ def test_dense_search_holds_a_tile_of_scores(spark, monkeypatch):
     u = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
     s = np.floor(u @ u.T * 1e5 + 0.5) / 1e5
     assert want == sorted((i, j, k + 1) for i in range(90) for k, j in enumerate(sorted((j for j in range(90) if j != i), key=lambda j: (-s[i, j], j))[:5]))
+
+
+def test_pair_counts_by_arrays(spark):
+    from tidewake.operators import history
+
+    rows = [(c, (c * 5 + i * i) % 11) for c in range(40) for i in range(1 + c % 6)] + [(100, i) for i in range(30)] + [(1, 5), (1, 5), (3, None), (4, None)]
+    c = spark.createDataFrame(rows, "commit long, file long")
+    want = {}
+    for k in {r[0] for r in rows}:
+        files = {f for x, f in rows if x == k}
+        if 2 <= len(files) <= 25:
+            for a in files - {None}:
+                for b in files - {None, a}:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert {(r.a, r.b): r.n for r in history.pair_counts(c).collect()} == want
+    only = spark.createDataFrame([(1,), (5,), (5,)], "file long")
+    assert {(r.a, r.b): r.n for r in history.pair_counts(c, least=2, only=only).collect()} == {k: n for k, n in want.items() if k[0] in (1, 5) and n >= 2}
+    changed = spark.createDataFrame([(0, 1), (0, 5), (1, 7)], "query_id long, file long")
+    same(history.scores_for_files(c, changed, some=True).collect(), history.scores_for_files(c, changed).collect())
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    assert history.file_counts(c, 10 * 250_000).rdd.getNumPartitions() > int(few)
