@@ -145,3 +145,20 @@ def test_pair_counts_by_arrays(spark):
     same(history.scores_for_files(c, changed, some=True).collect(), history.scores_for_files(c, changed).collect())
     few = spark.conf.get("spark.sql.shuffle.partitions")
     assert history.file_counts(c, 10 * 250_000).rdd.getNumPartitions() > int(few)
+
+
+def test_hybrid_by_files_is_that_of_its_pairs(spark, monkeypatch):
+    from tidewake.operators import blend
+
+    monkeypatch.setattr(blend, "BLOCK", 3)
+    g = spark.createDataFrame([(q, q * 3 + i * 2, float(i + q)) for q in range(6) for i in range(5)], "query_id long, id long, score double")
+    x = spark.createDataFrame([(q, q * 2 + i, float(i)) for q in range(1, 8) for i in range(4)], "query_id long, id long, score double")
+    h = spark.createDataFrame([(2, 30, 0.5), (3, 4, 0.25)], "query_id long, id long, score double")
+    ch = spark.createDataFrame([(q, q * 3) for q in range(5)], "query_id long, id long")
+    q, ids = [(i, f"f{i % 3}") for i in range(9)] + [(20, None)], [(i, f"f{i % 4}") for i in range(40)] + [(50, None)]
+    for more_q, more_ids in (([], []), ([(1, "f0"), (2, "f2")], [(5, "f2"), (7, "f3"), (None, "f1")])):  # also of several files, and twice
+        qs, ms = spark.createDataFrame(q + more_q, "query_id long, file string"), spark.createDataFrame(ids + more_ids, "id long, file string")
+        pairs = qs.join(ms, "file").select("query_id", "id")
+        for past, changed in ((None, None), (h, ch)):
+            a, b = (sorted((r.query_id, -1 if r.id is None else r.id, round(r.score, 9)) for r in blend.hybrid(g, x, f, None, past, changed).collect()) for f in ((qs, ms), pairs))
+            assert a == b
