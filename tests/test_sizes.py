@@ -162,3 +162,22 @@ def test_hybrid_by_files_is_that_of_its_pairs(spark, monkeypatch):
         for past, changed in ((None, None), (h, ch)):
             a, b = (sorted((r.query_id, -1 if r.id is None else r.id, round(r.score, 9)) for r in blend.hybrid(g, x, f, None, past, changed).collect()) for f in ((qs, ms), pairs))
             assert a == b
+
+
+def test_keys_are_compared_in_parts_by_rows(spark, monkeypatch):
+    from tidewake.operators import evaluate, verify
+
+    r, t, o = [(1, 1), (1, 2), (1, 2), (2, None), (None, 5), (3, 7)], [(1, 2), (1, 3), (2, None), (None, 5), (4, 1)], [(1, 3), (4, 1), (2, None)]
+    c = duckdb.connect()
+    for name, rows in (("r", r), ("t", t), ("o", o)):
+        c.execute(f"create table {name} as select distinct * from (values {', '.join(str(x) for x in rows)}) v(q, id)".replace("None", "null"))
+    df = lambda rows: spark.createDataFrame(rows, "query_id long, id long")
+    parts = []
+    for m in (evaluate, verify):
+        keep = m.spread
+        monkeypatch.setattr(m, "spread", lambda d, n, *k, keep=keep: parts.append(n) or keep(d, n, *k, each=1))
+    want = c.execute("with j as (select coalesce(r.q, t.q) as q, r.q is not null or r.id is not null as a, t.q is not null or t.id is not null as b from r full join t on r.q = t.q and r.id = t.id) select q, count_if(a and b), count_if(not b), count_if(not a) from j group by 1").fetchall()
+    same(verify.confusion(df(r), df(t)).collect(), want)
+    want = c.execute("select case when r.id is not null then 'in_context' when o.id is not null then 'disclosed' else 'invisible' end, count(*) from t left join r using (q, id) left join o using (q, id) group by 1").fetchall()
+    same(evaluate.disclosure(df(t), df(r), df(o)).collect(), want)
+    assert parts == [len(r) + len(t), len(r) + len(t) + len(o)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewake.runtime import spread
+
 KS = (10, 20, 30, 50, 70)
 
 
@@ -66,8 +68,11 @@ def contribution_patterns(truth: DataFrame, found: DataFrame) -> DataFrame:
 def disclosure(truth: DataFrame, included: DataFrame, dropped: DataFrame) -> DataFrame:
     """(state, n): relevant ids in the context, named as dropped, or invisible."""
     keys = ["query_id", "id"]
-    t = truth.select(*keys).distinct().join(included.select(*keys).distinct().withColumn("a", F.lit(1)), keys, "left").join(dropped.select(*keys).distinct().withColumn("b", F.lit(1)), keys, "left")
-    return t.groupBy(F.when(F.col("a") == 1, "in_context").when(F.col("b") == 1, "disclosed").otherwise("invisible").alias("state")).agg(F.count("*").alias("n"))
+    side = lambda df, t, a, b: df.select(*keys, F.lit(t).alias("t"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    every = side(truth, 1, 0, 0).unionByName(side(included, 0, 1, 0)).unionByName(side(dropped, 0, 0, 1))
+    every = spread(every, truth.count() + included.count() + dropped.count(), *keys).groupBy(*keys).agg(*[F.max(c).alias(c) for c in "tab"]).where("t = 1")
+    whole = F.col("query_id").isNotNull() & F.col("id").isNotNull()  # a null is equal to none
+    return every.groupBy(F.when(whole & (F.col("a") == 1), "in_context").when(whole & (F.col("b") == 1), "disclosed").otherwise("invisible").alias("state")).agg(F.count("*").alias("n"))
 
 
 def common_tasks(results: DataFrame) -> DataFrame:
