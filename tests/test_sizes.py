@@ -181,3 +181,29 @@ def test_keys_are_compared_in_parts_by_rows(spark, monkeypatch):
     want = c.execute("select case when r.id is not null then 'in_context' when o.id is not null then 'disclosed' else 'invisible' end, count(*) from t left join r using (q, id) left join o using (q, id) group by 1").fetchall()
     same(evaluate.disclosure(df(t), df(r), df(o)).collect(), want)
     assert parts == [len(r) + len(t), len(r) + len(t) + len(o)]
+
+
+def test_sibling_bonus_is_that_of_its_pairs(spark, monkeypatch):
+    import math
+
+    from tidewake.operators import scoring
+
+    e = {(f"p{i % 13}", f"s{(i * i + i // 7) % 11}") for i in range(90)} | {("hub", f"s{i}") for i in range(11)} | {("one", "s1"), ("p1", None), (None, "s2"), (None, "s3")}
+    ch = [(q, f"s{q}") for q in range(6)] + [(1, "s7"), (1, "s7"), (None, "s4"), (8, "absent")]
+    edges, changed = spark.createDataFrame([*e, *e], "src string, dst string"), spark.createDataFrame(ch, "query_id long, id string")
+    want = {}
+    for q, o in set(ch):
+        for caller in {a for a, b in e if b == o and a}:
+            callees = [b for a, b in e if a == caller]
+            for x in callees if len(callees) > 1 else []:
+                if x and x != o and (q is None or (q, x) not in ch):
+                    want[q, x] = want.get((q, x), 0) + math.log2(1 + 60 / len(callees))
+    want = {k: round(min(v, 80.0), 6) for k, v in want.items()}
+    assert {(r.query_id, r.id): round(r.bonus, 6) for r in scoring.sibling_bonus(edges, changed).collect()} == want
+    plan = spark._jvm.PythonSQLUtils.explainString(scoring.sibling_bonus(edges, changed)._jdf.queryExecution(), "simple")
+    made = plan.index("Generate explode(nrs")
+    assert "Exchange hashpartitioning" not in plan[:made]  # pairs are summed where they are made
+    monkeypatch.setattr(scoring, "LIST", 2)
+    monkeypatch.setattr(scoring, "TASK_PAIRS", 5)  # queries of more than 20 pairs are summed in several tasks
+    monkeypatch.setattr(scoring, "BROADCAST_ROWS", 3)
+    assert {(r.query_id, r.id): round(r.bonus, 6) for r in scoring.sibling_bonus(edges, changed).collect()} == want
