@@ -207,3 +207,38 @@ def test_sibling_bonus_is_that_of_its_pairs(spark, monkeypatch):
     monkeypatch.setattr(scoring, "TASK_PAIRS", 5)  # queries of more than 20 pairs are summed in several tasks
     monkeypatch.setattr(scoring, "BROADCAST_ROWS", 3)
     assert {(r.query_id, r.id): round(r.bonus, 6) for r in scoring.sibling_bonus(edges, changed).collect()} == want
+
+
+def test_components_draw_edges_anew(spark, monkeypatch):
+    import random
+
+    from tidewake.operators import closure
+
+    rng = random.Random(5)
+    e = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i * 7 % 30) for i in range(30)] + [(200, 200), (None, 3)] + [(300 + i, 400) for i in range(50)]
+    parent = {x: x for p in e for x in p if None not in p}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in e:
+        if a is not None and a != b:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    df = spark.createDataFrame([*e, *e], "src long, dst long")
+    monkeypatch.setattr(closure, "cut", kept := Kept(closure.cut))
+    got = {r.id: r.label for r in closure.min_label_components(df).collect()}
+    assert got == {x: root(x) for x in parent if any(x in p and p[0] != p[1] and None not in p for p in e)}
+    assert kept.counts.count(len({tuple(sorted(p)) for p in e if None not in p and p[0] != p[1]})) == 1  # all edges once
+    assert closure.min_label_components(df.limit(0)).count() == 0
+
+
+def test_reach_follows_an_edge_once_for_many_queries(spark):
+    from tidewake.operators import closure
+
+    e = spark.createDataFrame([(i, (i * 3 + j) % 97) for i in range(97) for j in (1, 2)], "src long, dst long").distinct()
+    s = spark.createDataFrame([(q, q * 5 % 97) for q in range(130)] + [(3, 50), (3, 50)], "query_id long, id long")
+    for depth in (0, 2, 3):
+        same(closure.reach(e, s, depth).collect(), closure.min_hops(e, s, depth).select("query_id", "id").collect())
