@@ -242,3 +242,46 @@ def test_reach_follows_an_edge_once_for_many_queries(spark):
     s = spark.createDataFrame([(q, q * 5 % 97) for q in range(130)] + [(3, 50), (3, 50)], "query_id long, id long")
     for depth in (0, 2, 3):
         same(closure.reach(e, s, depth).collect(), closure.min_hops(e, s, depth).select("query_id", "id").collect())
+
+
+def test_bm25_adds_up_scores_where_texts_are(spark, monkeypatch):
+    import math
+    import re
+    from collections import Counter
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tidewake.operators import text
+
+    words = ["Ab", "ab_1", "x", "9zz", "the", "THE", "Kelvin", "q2-q3", "_u", "rare", "café"]
+    docs = [(i, " ".join(words[(i * j + j * j) % 11] for j in range(i % 9))) for i in range(70)] + [(70, None), (3, "rare ab"), (3, "the"), (None, "the rare"), (None, "ab")]
+    asked = [(q, " ".join(words[(q + j) % 11] for j in range(1 + q))) for q in range(6)] + [(None, "the ab the"), (9, "absent"), (9, "")]
+    find = lambda t: [x.lower() for x in re.findall("[a-zA-Z_][a-zA-Z0-9_]*", t or "") if len(x) > 1]
+    tf = {i: Counter(x for j, t in docs if i == j for x in find(t)) for i, _ in docs}
+    df, n = Counter(x for c in tf.values() for x in c), len(docs)
+    raw = {x: math.log(n - d + 0.5) - math.log(d + 0.5) for x, d in df.items()}
+    mean = sum(raw.values()) / len(raw) * 0.25
+    idf = {x: (mean if mean > 0 else 0.25) if r < 0 else r for x, r in raw.items()}
+    avg = sum(c.total() for i, c in tf.items() if i is not None) / n
+    want = {}
+    for q in {q for q, _ in asked}:
+        for i, c in tf.items():
+            s = sum(m * idf[x] * c[x] * 2.5 / (c[x] + 1.5 * (0.25 + 0.75 * c.total() / avg)) for x, m in Counter(x for p, t in asked if p == q for x in find(t)).items() if c[x])
+            if s > 0 and i is not None:
+                want[q, i] = round(s, 9)
+    s, q = spark.createDataFrame(docs, "id long, code string").repartition(3), spark.createDataFrame(asked, "query_id long, text string")
+    got = lambda k=None: {(r.query_id, r.id): round(r.score, 9) for r in text.bm25(s, q, k).collect()}
+    assert got() == want
+    for name, most in (("TERMS", 2), ("ASKED_ROWS", 3), ("SCORE_PARTS", 5)):
+        monkeypatch.setattr(text, name, most)
+    assert got() == want
+    few = got(2)
+    assert few.items() <= want.items()
+    rounded = {k: round(v, 6) for k, v in want.items()}
+    best = {q: sorted((v for (p, _), v in rounded.items() if p == q), reverse=True)[:2] for q, _ in want}
+    assert all(k in few for k, v in rounded.items() if v >= best[k[0]][-1])
+    assert text.bm25(s, q.limit(0), 2).count() == text.bm25(s.limit(0), q).count() == 0
+    one = spark.range(50).select("id", F.concat(F.lit("the rare "), F.col("id").cast("string")).alias("code"), F.row_number().over(Window.orderBy("id")).alias("lineno"))
+    plan = spark._jvm.PythonSQLUtils.explainString(text.bm25(one, q, 2)._jdf.queryExecution(), "simple")
+    assert "Exchange" not in plan and "Window" not in plan  # neither texts nor terms are shuffled for the scores

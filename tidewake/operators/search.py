@@ -78,7 +78,7 @@ def scores_for_symbols(symbols: DataFrame, file_scores: DataFrame) -> DataFrame:
 def bm25_baseline(symbols: DataFrame, query_ids: DataFrame, k: int) -> DataFrame:
     """The k best of the other symbols by BM25 for each symbol asked for."""
     asked = symbols.join(small(query_ids.select(F.col("query_id").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("code").alias("text"))
-    scores = bm25(symbols, asked).where("id <> query_id")
+    scores = bm25(symbols, asked, k + 1).where("id <> query_id")  # one more than k: its own
     return top_k(scores.withColumn("score", F.round("score", 6)), k)
 
 

@@ -129,12 +129,12 @@ def token_estimates(spark, d):
 @query(f"with {SYM}, {TOK}, {IDF} select term, df, round(idf, 6) as idf from idf")
 def bm25_idf(spark, d):
     s = symbols(spark, d)
-    return text.bm25_idf(text.postings(s), s.agg(F.count("*").alias("n"))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return text.bm25_idf(text.term_counts(s), s.agg(F.count("*").alias("n"))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {BM25} select query_id, id, rank from (select query_id, id, row_number() over (partition by query_id order by round(score, 6) desc, id) as rank from bm where score > 0) where rank <= 10")
 def bm25_topk(spark, d):
-    s = text.bm25(symbols(spark, d), items(spark, d)).withColumn("score", F.round("score", 6))
+    s = text.bm25(symbols(spark, d), items(spark, d), 10).withColumn("score", F.round("score", 6))
     return text.top_k(s, 10).select("query_id", "id", "rank")
 
 
