@@ -314,3 +314,25 @@ def test_sufficiency_is_marked_by_id(spark, tables, monkeypatch):
     got = {r.query_id: (r.direct_closure, r.high_score_retention, r.local_graph_confidence, r.n_missing_direct, r.n_dropped_high, r.n_local_edges) for r in verify.sufficiency(e, ids, scores, ch, sel).collect()}
     none = (1.0, 1.0, 1.0, 0, 0, 0)
     assert got == {1: (0.5, 1.0, 0.75, 1, 0, 4), 2: (1.0, 0.5, 0.0, 0, 1, 1), 3: none, None: none}
+
+
+def test_cochange_scores_are_made_apart_from_counts(spark, monkeypatch):
+    from tidewake.operators import history
+
+    rows = [(c, (c * 5 + i * i) % 11) for c in range(60) for i in range(1 + c % 6)] + [(1, 5), (3, None), (None, 4)]
+    ch = [(q, (q * 3 + j) % 12) for q in range(5) for j in range(3)] + [(2, 6), (2, None), (None, 3), (7, 99)]
+    c, changed = spark.createDataFrame(rows, "commit long, file long"), spark.createDataFrame(ch, "query_id long, file long")
+    ab = {(r.a, r.b): r.n for r in history.pair_counts(c, least=2).collect()}
+    total = {f: len({str(k) for k, x in rows if x == f}) for _, f in rows}
+    want = {}
+    for q, f in ch:
+        for (a, b), n in ab.items():
+            if a == f and (q is None or (q, b) not in ch):
+                want[q, b] = max(want.get((q, b), 0), n / total[a])
+    parts, keep = [], history.spread
+    monkeypatch.setattr(history, "spread", lambda df, n, *k: parts.append((n, k)) or keep(df, n, *k, each=7))
+    got = history.scores_for_files(c, changed)
+    assert {(r.query_id, r.file): r.score for r in got.collect()} == want
+    assert parts[-4][0] == parts[-3][0] == history.association(c).count() + len(ch)  # joined in parts by their rows
+    plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert "collect_list" not in plan  # no task counts pairs and joins them

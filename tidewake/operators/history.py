@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.runtime import small, spread
+from tidewake.runtime import cut, small, spread
 
 MAX_FILES, MIN_COCHANGES = 25, 2
 
@@ -42,10 +42,15 @@ def pair_counts(commit_files: DataFrame, max_files: int = MAX_FILES, least: int
 
 
 def association(commit_files: DataFrame, max_files: int = MAX_FILES, least: int = MIN_COCHANGES, only: DataFrame | None = None) -> DataFrame:
-    """(a, b, assoc): how often b changed when a did; with only(file), of these a."""
+    """(a, b, assoc): how often b changed when a did; with only(file), of these a.
+
+    Both sides are written first, so that no task counts, sorts and joins in one.
+    """
     rows = commit_files.count()
-    pairs = pair_counts(commit_files, max_files, least, only, rows)
-    return pairs.join(file_counts(commit_files, rows).select(F.col("file").alias("a"), F.col("n").alias("total")), "a").select("a", "b", (F.col("n") / F.col("total")).alias("assoc"))
+    pairs = cut(pair_counts(commit_files, max_files, least, only, rows))
+    files = cut(file_counts(commit_files, rows).select(F.col("file").alias("a"), F.col("n").alias("total")))
+    n = pairs.count() + files.count()
+    return spread(pairs, n, "a").join(spread(files, n, "a"), "a").select("a", "b", (F.col("n") / F.col("total")).alias("assoc"))
 
 
 def scores_for_files(commit_files: DataFrame, changed: DataFrame, max_files: int = MAX_FILES, least: int = MIN_COCHANGES, some: bool = False) -> DataFrame:
@@ -54,9 +59,12 @@ def scores_for_files(commit_files: DataFrame, changed: DataFrame, max_files: int
     some says that few of all files are changed: only their pairs are counted then.
     """
     only = changed.select("file") if some else None
-    ab = association(commit_files, max_files, least, only)
-    hit = changed.join(ab, changed["file"] == ab["a"]).groupBy("query_id", F.col("b").alias("file")).agg(F.max("assoc").alias("score"))
-    return hit.join(changed.select("query_id", "file"), ["query_id", "file"], "left_anti")
+    ab, m = cut(association(commit_files, max_files, least, only)), changed.count()
+    n = ab.count() + m
+    hit = spread(changed.select("query_id", F.col("file").alias("a")), n, "a").join(spread(ab, n, "a"), "a").select("query_id", F.col("b").alias("file"), "assoc")
+    n = hit.count() + m
+    best = spread(hit, n, "query_id", "file").groupBy("query_id", "file").agg(F.max("assoc").alias("score"))
+    return best.join(spread(changed.select("query_id", "file"), n, "query_id", "file"), ["query_id", "file"], "left_anti")
 
 
 def excluding(commit_files: DataFrame, commits: DataFrame) -> DataFrame:
